@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsift.functions import text as T
@@ -54,10 +54,7 @@ OVERALL_LABELS = {
 
 def any_part(c: Column, parts: list[str]) -> Column:
     """Does the text contain one of the parts?"""
-    hit = F.lit(False)
-    for part in parts:
-        hit = hit | F.contains(c, F.lit(part))
-    return hit
+    return c.rlike("|".join(parts))
 
 
 def land_use_code(c: Column) -> Column:
@@ -65,7 +62,7 @@ def land_use_code(c: Column) -> Column:
 
 
 def land_use_name(code: Column, description: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in LAND_USE_NAMES.items() for x in pair])
+    names = T.literal_map(LAND_USE_NAMES)
     return F.coalesce(
         T.blank_to_null(description), F.try_element_at(names, code), F.lit(LAND_USE_DEFAULT_NAME)
     )
@@ -135,21 +132,22 @@ def network_key(code: Column, name: Column) -> Column:
     return key
 
 
-def _underground(text: Column) -> Column:
-    return any_part(text, ["podzem", "kablovod"])
+# Fixed patterns: position of an electricity line, and its voltage.
+UNDERGROUND = "podzem|kablovod"
+OVERHEAD = "nadzem|daljnovod"
+VOLTAGE = r"(?i)(\d+(?:[.,]\d+)?)\s*k\s*v"
 
 
-def _overhead(text: Column) -> Column:
-    return any_part(text, ["nadzem", "daljnovod"])
+def voltage_kv(voltage: Column) -> Column:
+    number = F.regexp_extract(voltage, VOLTAGE, 1)
+    return F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def electricity_band(text: Column, voltage: Column) -> Column:
+def electricity_band(kv: Column, underground: Column, overhead: Column) -> Column:
     """Band width in metres; null without a voltage or a known position."""
-    number = F.regexp_extract(voltage, r"(?i)(\d+(?:[.,]\d+)?)\s*k\s*v", 1)
-    kv = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
-    below = F.when(kv >= 220, 10.0).when(kv >= 35, 3.0).when(kv.isNotNull(), 1.0)
-    above = F.when(kv >= 220, 40.0).when(kv >= 35, 15.0).when(kv > 1, 10.0).when(kv.isNotNull(), 1.5)
-    return F.when(_underground(text), below).when(_overhead(text), above)
+    below = F.when(kv >= 220, 10.0).when(kv >= 35, 3.0).otherwise(1.0)
+    above = F.when(kv >= 220, 40.0).when(kv >= 35, 15.0).when(kv > 1, 10.0).otherwise(1.5)
+    return F.when(kv.isNull(), None).when(underground, below).when(overhead, above)
 
 
 # Road band widths in metres by class.
@@ -191,56 +189,62 @@ ROAD_BASIS = "76. člen Zakona o cestah (ZCes-2)"
 ROAD_BASIS_LOCAL = "Zakon o cestah (ZCes-2) in veljavni občinski odlok o občinskih cestah"
 
 
-def band_profile(code: Column, theme: Column, kind: Column, attribute1: Column, attribute2: Column) -> dict[str, Column]:
-    """network, category, name, legal basis and width of a network object."""
-    key = network_key(code, theme)
-    defaults = F.create_map(*[F.lit(x) for pair in DEFAULT_KINDS.items() for x in pair])
-    kind = F.coalesce(T.clean_value(kind), F.try_element_at(defaults, key))
-    first, second = T.clean_attribute(attribute1), T.clean_attribute(attribute2)
-    text = F.lower(F.concat_ws(" ", kind, first, second))
-    voltage = F.when(F.contains(F.lower(second), F.lit("kv")), second)
-    tail = F.coalesce(F.concat(F.lit(" "), voltage), F.lit(""))
-    road_class = F.coalesce(first, kind)
-    road_width = road_band(road_class)
+def with_band_profile(df: DataFrame) -> DataFrame:
+    """Adds network, category, name, legal basis and width of a network object; the
+    object is described by ``theme_code, theme_name, kind, attribute1, attribute2``.
+
+    Done in steps, so that no cleaned text is worked out more than once per row."""
+    key, kind, first, second = (F.col(c) for c in ("network", "_kind", "_first", "_second"))
+    voltage, road = F.col("_voltage"), F.col("_road")
+    under, over = F.col("_under"), F.col("_over")
     name = (
         F.when(
             key == "electricity",
-            F.when(_underground(text), F.concat(F.lit("Podzemni kabelski vod"), tail))
-            .when(_overhead(text), F.concat(F.lit("Nadzemni elektroenergetski vod"), tail))
+            F.when(under, F.concat_ws(" ", F.lit("Podzemni kabelski vod"), voltage))
+            .when(over, F.concat_ws(" ", F.lit("Nadzemni elektroenergetski vod"), voltage))
             .otherwise(kind),
         )
-        .when(
-            key == "telecom",
-            F.concat(
-                F.lit("Elektronske komunikacije – "),
-                F.lower(kind),
-                F.coalesce(F.concat(F.lit(" – "), F.lower(first)), F.lit("")),
-            ),
-        )
+        .when(key == "telecom", F.concat_ws(" – ", F.lit("Elektronske komunikacije"), F.lower(kind), F.lower(first)))
         .when(key == "water", F.concat(F.lit("Vodovod – "), F.lower(kind)))
         .when(key == "sewer", F.concat(F.lit("Kanalizacija – "), F.lower(kind)))
-        .when(
-            key == "road",
-            F.concat(F.upper(F.substring(road_class, 1, 1)), F.substr(road_class, F.lit(2))),
-        )
+        .when(key == "road", F.concat(F.upper(F.substring(road, 1, 1)), F.substr(road, F.lit(2))))
         .when(key.isin("gas", "district_heat"), kind)
     )
     width = (
-        F.when(key == "electricity", electricity_band(text, voltage))
+        F.when(key == "electricity", electricity_band(F.col("_kv"), under, over))
         .when(key == "telecom", 3.0)
-        .when(key == "road", road_width)
-        .when(key == "gas", F.when(any_part(text, ["prenos"]), 65.0).when(any_part(text, ["distrib"]), 5.0))
+        .when(key == "road", road_band(road))
+        .when(key == "gas", F.when(F.col("_text").contains("prenos"), 65.0).when(F.col("_text").contains("distrib"), 5.0))
+    )
+    road_basis = F.when(F.col("width").isNotNull(), ROAD_BASIS).otherwise(ROAD_BASIS_LOCAL)
+    basis = F.when(key == "road", road_basis).otherwise(F.try_element_at(T.literal_map(BAND_BASIS), key))
+    return (
+        df.withColumns(
+            {
+                "network": network_key(F.col("theme_code"), F.col("theme_name")),
+                "_kind": T.clean_value(F.col("kind")),
+                "_first": T.clean_attribute(F.col("attribute1")),
+                "_second": T.clean_attribute(F.col("attribute2")),
+            }
+        )
+        .withColumns(
+            {
+                "_kind": F.coalesce(kind, F.try_element_at(T.literal_map(DEFAULT_KINDS), key)),
+                "_voltage": F.when(F.contains(F.lower(second), F.lit("kv")), second),
+            }
+        )
+        .withColumns({"_text": F.lower(F.concat_ws(" ", kind, first, second)), "_road": F.coalesce(first, kind)})
+        .withColumns(
+            {
+                "_kv": voltage_kv(voltage),
+                "_under": F.col("_text").rlike(UNDERGROUND),
+                "_over": F.col("_text").rlike(OVERHEAD),
+            }
+        )
+        .withColumns({"name": name, "width": width, "category": F.try_element_at(T.literal_map(BAND_CATEGORY), key)})
+        .withColumn("legal_basis", basis)
+        .drop("_kind", "_first", "_second", "_text", "_voltage", "_road", "_kv", "_under", "_over")
     )
-    categories = F.create_map(*[F.lit(x) for pair in BAND_CATEGORY.items() for x in pair])
-    bases = F.create_map(*[F.lit(x) for pair in BAND_BASIS.items() for x in pair])
-    road_basis = F.when(road_width.isNotNull(), ROAD_BASIS).otherwise(ROAD_BASIS_LOCAL)
-    return {
-        "network": key,
-        "category": F.try_element_at(categories, key),
-        "name": name,
-        "legal_basis": F.when(key == "road", road_basis).otherwise(F.try_element_at(bases, key)),
-        "width": width,
-    }
 
 
 # What marks an owner entry as hidden.

@@ -44,16 +44,20 @@ def clean_text(c: Column) -> Column:
     return blank_to_null(squeeze(c.cast("string")))
 
 
+def _without(c: Column, words: Sequence[str]) -> Column:
+    """Cleaned text; the given words, in any case, become null."""
+    text = F.regexp_replace(squeeze(c.cast("string")), "^(-?\\d+)\\.0$", "$1")
+    return blank_to_null(F.regexp_replace(text, "(?iu)^(" + "|".join(words) + ")$", ""))
+
+
 def clean_value(c: Column) -> Column:
     """Cleaned text; whole floats lose their ``.0``; null words become null."""
-    text = clean_text(F.regexp_replace(c.cast("string"), "^(-?\\d+)\\.0$", "$1"))
-    return F.when(~F.lower(text).isin(NULL_WORDS), text)
+    return _without(c, NULL_WORDS)
 
 
 def clean_attribute(c: Column) -> Column:
     """As clean_value, and the "no data" phrases become null too."""
-    text = clean_value(c)
-    return F.when(~F.lower(text).isin(NO_DATA), text)
+    return _without(c, [*NULL_WORDS, *NO_DATA])
 
 
 def first_value(props: Column, fields: Sequence[str]) -> Column:
@@ -128,10 +132,15 @@ def is_affirmative(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c)).isin(["da", "yes", "true", "1", "y"]), F.lit(False))
 
 
+def literal_map(values: Mapping[str, str]) -> Column:
+    """A fixed dictionary as a map column."""
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quote(k)}, {quote(v)}" for k, v in values.items()) + ")")
+
+
 def label(c: Column, labels: Mapping[str, str]) -> Column:
     """Dictionary lookup; an unknown code stays as it is."""
-    entries = [F.lit(x) for pair in labels.items() for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), c), c)
+    return F.coalesce(F.try_element_at(literal_map(labels), c), c)
 
 
 def nonnegative(c: Column) -> Column:

@@ -7,8 +7,10 @@ side uses. A pair is kept only in the cell holding the lower-left corner of the
 overlap, so no distinct is needed. Cells are never much larger than the larger
 box of a pair, so the number of candidates follows the number of results.
 
-Cells holding more rows than one task should take are split: one side gets a
-salt, the other is repeated once per salt. Every row is kept.
+A first pass counts the rows per grid level (at most 13 levels a side). Where a side
+is larger than one task should take, a second pass looks for crowded cells; those
+are split: one side gets a salt, the other is repeated once per salt. Every row is
+kept. Both passes read only the boxes and run when the join is built.
 """
 
 from __future__ import annotations
@@ -26,74 +28,79 @@ HOT_CELLS = 1000
 ROWS_PER_TASK = 500_000
 
 
-def _with_level(df: DataFrame, margin: Column) -> DataFrame:
+def _with_level(df: DataFrame, margin: Column | None) -> DataFrame:
+    """Adds the grown box and its grid level; rows without a box drop out."""
     grown = {
-        "_x0": F.col("x0") - margin,
-        "_y0": F.col("y0") - margin,
-        "_x1": F.col("x1") + margin,
-        "_y1": F.col("y1") + margin,
+        "_x0": F.col("x0") - margin if margin is not None else F.col("x0"),
+        "_y0": F.col("y0") - margin if margin is not None else F.col("y0"),
+        "_x1": F.col("x1") + margin if margin is not None else F.col("x1"),
+        "_y1": F.col("y1") + margin if margin is not None else F.col("y1"),
     }
-    df = df.withColumns(grown)
-    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    extent = F.greatest(grown["_x1"] - grown["_x0"], grown["_y1"] - grown["_y0"])
     level = F.ceil(F.log(LEVEL_FACTOR, F.greatest(extent, F.lit(SMALLEST_CELL)) / SMALLEST_CELL))
-    return df.withColumn("_level", F.least(level.cast("int"), F.lit(TOP_LEVEL))).filter(
-        F.col("_x0").isNotNull() & F.col("_y1").isNotNull()
+    return df.filter(extent.isNotNull()).withColumns(
+        {**grown, "_level": F.least(level.cast("int"), F.lit(TOP_LEVEL))}
     )
 
 
-def _levels(df: DataFrame) -> Column:
-    """The few grid levels a side uses, as a scalar subquery."""
-    return df.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()
+def _level_counts(left: DataFrame, right: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Rows per grid level on both sides: one pass, at most 2 x 13 rows come back."""
+    both = left.select(F.lit(0).alias("side"), "_level").unionAll(
+        right.select(F.lit(1).alias("side"), "_level")
+    )
+    counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for side, level, n in both.groupBy("side", "_level").count().collect():
+        counts[side][level] = n
+    return counts
 
 
-def _cells(df: DataFrame, other_levels: Column) -> DataFrame:
-    """One row per (level, cell) the box touches on levels where partners can be."""
-    df = df.withColumn("_other", other_levels)
+def _cells(df: DataFrame, other_levels: list[int]) -> DataFrame:
+    """One row per cell the box touches, on the levels where partners can be."""
+    levels = ", ".join(str(v) for v in other_levels)
+    lowest = other_levels[0] if other_levels else TOP_LEVEL + 1
     size = f"({SMALLEST_CELL}D * power({LEVEL_FACTOR}D, l))"
     cells = f"""
         flatten(transform(
-            array_union(
-                if(size(_other) > 0 and _other[0] <= _level, array(_level), array()),
-                filter(_other, l -> l > _level)),
+            filter(array_union(array(_level), array({levels})), l -> l > _level or (l = _level and {lowest} <= l)),
             l -> flatten(transform(
                 sequence(floor(_x0 / {size}), floor(_x1 / {size})),
                 cx -> transform(
                     sequence(floor(_y0 / {size}), floor(_y1 / {size})),
                     cy -> struct(l as l, cx as cx, cy as cy))))))
     """
-    return df.withColumn("_cell", F.explode(F.expr(cells))).drop("_other")
+    return df.withColumn("_cell", F.explode(F.expr(cells)))
 
 
 def _cell_key(on: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in on], F.col("_cell"))
+    return F.xxhash64(*[F.col(c) for c in on], F.col("_cell"))
 
 
-def _hot_cells(cells: DataFrame, on: Sequence[str], rows_per_task: int) -> Column:
-    """Salts per crowded cell. At most HOT_CELLS entries; a cell beyond those holds
-    less than 1/HOT_CELLS of the rows and needs no split."""
+def _hot_cells(cells: DataFrame, on: Sequence[str], rows_per_task: int) -> dict[int, int]:
+    """Salts per crowded cell. At most HOT_CELLS entries come back; a cell beyond those
+    holds less than 1/HOT_CELLS of the rows and needs no split."""
     crowded = (
-        cells.groupBy(F.xxhash64(_cell_key(on)).alias("cell"))
+        cells.groupBy(_cell_key(on).alias("cell"))
         .count()
         .filter(F.col("count") > rows_per_task)
         .orderBy(F.desc("count"), "cell")
         .limit(HOT_CELLS)
     )
-    entry = F.struct("cell", F.ceil(F.col("count") / rows_per_task).cast("int").alias("n"))
-    return crowded.agg(F.map_from_entries(F.collect_list(entry)).alias("hot")).scalar()
+    return {cell: -(-n // rows_per_task) for cell, n in crowded.collect()}
+
+
+def _salts(on: Sequence[str], hot: dict[int, int]) -> Column:
+    if not hot:
+        return F.lit(1)
+    entries = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
+    return F.coalesce(F.try_element_at(entries, _cell_key(on)), F.lit(1))
 
 
-def _salted(df: DataFrame, on: Sequence[str], own_hot: Column, other_hot: Column, own: str, other: str):
-    key = F.xxhash64(_cell_key(on))
-    own_n = F.coalesce(F.try_element_at(F.col("_own_hot"), key), F.lit(1))
-    other_n = F.coalesce(F.try_element_at(F.col("_other_hot"), key), F.lit(1))
-    # hash of the row itself, so that a recomputed task gives the same salts
+def _salted(df: DataFrame, on: Sequence[str], own_n: Column, other_n: Column, own: str, other: str) -> DataFrame:
+    """Own salt from the row's hash, so that a recomputed task gives the same salts;
+    one copy per salt of the other side."""
     plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    mix = F.xxhash64(*plain)
-    return (
-        df.withColumns({"_own_hot": own_hot, "_other_hot": other_hot})
-        .withColumns({own: F.pmod(mix, own_n).cast("int"), "_other_n": other_n})
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_other_n") - 1)))
-        .drop("_own_hot", "_other_hot", "_other_n")
+    return df.withColumn(own, F.pmod(F.xxhash64(*plain), own_n).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), other_n - 1))
     )
 
 
@@ -116,19 +123,23 @@ def box_join(
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     if not isinstance(margin, Column):
-        margin = F.lit(float(margin))
-    l_side = _with_level(left, F.lit(0.0))
+        margin = F.lit(float(margin)) if margin else None
+    l_side = _with_level(left, None)
     r_side = _with_level(right, margin)
-    l_levels, r_levels = _levels(l_side), _levels(r_side)
-    l_cells = _cells(l_side, r_levels)
-    r_cells = _cells(r_side, l_levels)
+    l_levels, r_levels = _level_counts(l_side, r_side)
+    l_cells = _cells(l_side, sorted(r_levels))
+    r_cells = _cells(r_side, sorted(l_levels))
     keys = [*on, "_cell"]
-    if split_hot_cells:
-        l_hot = _hot_cells(l_cells, on, rows_per_task)
-        r_hot = _hot_cells(r_cells, on, rows_per_task)
-        l_cells = _salted(l_cells, on, l_hot, r_hot, "_ls", "_rs")
-        r_cells = _salted(r_cells, on, r_hot, l_hot, "_rs", "_ls")
-        keys += ["_ls", "_rs"]
+    # a side smaller than one task's share cannot hold a crowded cell
+    crowded = [sum(v.values()) > rows_per_task for v in (l_levels, r_levels)]
+    if split_hot_cells and any(crowded):
+        l_hot = _hot_cells(l_cells, on, rows_per_task) if crowded[0] else {}
+        r_hot = _hot_cells(r_cells, on, rows_per_task) if crowded[1] else {}
+        if l_hot or r_hot:
+            l_n, r_n = _salts(on, l_hot), _salts(on, r_hot)
+            l_cells = _salted(l_cells, on, l_n, r_n, "_ls", "_rs")
+            r_cells = _salted(r_cells, on, r_n, l_n, "_rs", "_ls")
+            keys += ["_ls", "_rs"]
     r_cells = r_cells.withColumnsRenamed(
         {c: f"r_{c}" for c in BOX}
         | {"_x0": "_rx0", "_y0": "_ry0", "_x1": "_rx1", "_y1": "_ry1", "_level": "_rlevel"}
@@ -145,7 +156,7 @@ def box_join(
         & (F.floor(corner_x / size) == F.col("_cell.cx"))
         & (F.floor(corner_y / size) == F.col("_cell.cy"))
     )
-    kept = [c for c in left.columns] + [
+    kept = left.columns + [
         f"r_{c}" if c in BOX else c for c in right.columns if c not in on
     ]
     return pairs.select(*kept)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.session import table
+from landsift.session import table  # noqa: F401
 
 CODES = ["SS", "SK", "A", "CU", "K1", "K2", "G", "VC", "PC", "X9"]
 MUNICIPALITIES = ["Ljubljana", "Kranj", "Radovljica", "Gorenja vas-Poljane"]
@@ -46,7 +46,8 @@ PHRASES = [
 
 def pick(values, index: str):
     """values[index] for a non-negative SQL index expression."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(f"cast({index} as int) + 1"))
+    items = ", ".join("null" if v is None else "'" + v + "'" if isinstance(v, str) else str(v) for v in values)
+    return F.expr(f"element_at(array({items}), cast({index} as int) + 1)")
 
 
 def sql_list(values) -> str:
