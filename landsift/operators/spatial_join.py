@@ -29,18 +29,21 @@ ROWS_PER_TASK = 500_000
 
 
 def _with_level(df: DataFrame, margin: Column | None) -> DataFrame:
-    """Adds the grown box and its grid level; rows without a box drop out."""
-    grown = {
-        "_x0": F.col("x0") - margin if margin is not None else F.col("x0"),
-        "_y0": F.col("y0") - margin if margin is not None else F.col("y0"),
-        "_x1": F.col("x1") + margin if margin is not None else F.col("x1"),
-        "_y1": F.col("y1") + margin if margin is not None else F.col("y1"),
-    }
-    extent = F.greatest(grown["_x1"] - grown["_x0"], grown["_y1"] - grown["_y0"])
-    level = F.ceil(F.log(LEVEL_FACTOR, F.greatest(extent, F.lit(SMALLEST_CELL)) / SMALLEST_CELL))
-    return df.filter(extent.isNotNull()).withColumns(
-        {**grown, "_level": F.least(level.cast("int"), F.lit(TOP_LEVEL))}
-    )
+    """Adds the grown box and its grid level; rows without a box drop out.
+
+    The grown sides are made non-null, so that no null check of them, with all it is
+    computed from, is pushed into the scan."""
+    df = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in BOX))
+    zero = F.lit(0.0)
+    if margin is None:
+        grown = {f"_{c}": F.coalesce(c, zero) for c in BOX}
+    else:
+        df = df.withColumn("_margin", F.coalesce(margin, zero))
+        low, high = F.col("_margin") * -1, F.col("_margin")
+        grown = {f"_{c}": F.coalesce(F.col(c) + (low if c.endswith("0") else high), zero) for c in BOX}
+    extent = F.expr(f"greatest(_x1 - _x0, _y1 - _y0, {SMALLEST_CELL}D)")
+    level = F.ceil(F.log(LEVEL_FACTOR, extent / SMALLEST_CELL)).cast("int")
+    return df.withColumns(grown).drop("_margin").withColumn("_level", F.least(level, F.lit(TOP_LEVEL)))
 
 
 def _level_counts(left: DataFrame, right: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
@@ -68,7 +71,8 @@ def _cells(df: DataFrame, other_levels: list[int]) -> DataFrame:
                     sequence(floor(_y0 / {size}), floor(_y1 / {size})),
                     cy -> struct(l as l, cx as cx, cy as cy))))))
     """
-    return df.withColumn("_cell", F.explode(F.expr(cells)))
+    # the outer form: the inner one would add a filter that works the cells out twice
+    return df.withColumn("_cell", F.explode_outer(F.expr(cells)))
 
 
 def _cell_key(on: Sequence[str]) -> Column:
