@@ -270,12 +270,16 @@ def failed_logins(attempts: DataFrame, minutes: int = 15, max_attempts: int = 5)
     failed = F.when(~F.col("successful"), 1).otherwise(0)
     span = minutes * 60 * 1_000_000
 
+    # every attempt also shows up in the next slice of time, so a window never has to
+    # reach beyond its own slice and a busy address is spread over many tasks
     def trailing(*keys):
-        w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-span, Window.currentRow)
+        w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-span, Window.currentRow)
         return F.sum("_failed").over(w)
 
     return (
         attempts.withColumns({"_t": seconds, "_failed": failed})
+        .withColumn("_own", F.floor(F.col("_t") / span))
+        .withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
         .withColumns(
             {
                 "_a": trailing("ip_address"),
@@ -283,8 +287,9 @@ def failed_logins(attempts: DataFrame, minutes: int = 15, max_attempts: int = 5)
                 "_b": trailing("ip_address", "username"),
             }
         )
+        .filter(F.col("_slice") == F.col("_own"))
         # attempts at the same instant count only if they came before: own row is left out
         .withColumn("failures", F.col("_a") + F.col("_u") - F.col("_b") - F.col("_failed"))
         .withColumn("blocked", F.col("failures") >= max_attempts)
-        .drop("_t", "_failed", "_a", "_u", "_b")
+        .drop("_t", "_failed", "_a", "_u", "_b", "_own", "_slice")
     )
