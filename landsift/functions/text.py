@@ -28,6 +28,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANKS, " "))
 
 
+def squeeze_ends(c: Column) -> Column:
+    """Blanks at both ends trimmed, of any kind."""
+    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
     """Empty text to null."""
     return F.nullif(c, F.lit(""))
