@@ -31,7 +31,7 @@ def lines(spark, folder):
 
 ALIASES = "aliases AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{a}')" for t, _, i, a in C.alias_table()) + ") v(topic, alias_index, alias))"
 # No page here has two columns; only words broken at a line end would differ, and none is.
-FOLDED = r"strip_accents(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))))"
+FOLDED = r"strip_accents(replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss'))"
 
 
 @query(
@@ -66,7 +66,7 @@ def w4_best_condition(spark, folder):
     "x37_context_terms",
     BASE
     + f""", raw AS (SELECT {KEY}, strip_accents(lower(land_use_code)) AS code, list_filter([strip_accents(lower(planning_unit)), strip_accents(lower(subunit)),
-        strip_accents(lower(land_use_description))], x -> length(x) >= 3) AS texts FROM context),
+        strip_accents(lower(land_use_description))], lambda x: length(x) >= 3) AS texts FROM context),
       terms AS (SELECT DISTINCT {KEY}, unnest(texts) AS term FROM raw UNION SELECT {KEY}, code FROM raw WHERE length(code) >= 2)
     SELECT {KEY}, string_agg(term, '|' ORDER BY length(term) DESC, term) AS terms FROM terms GROUP BY ALL""",
 )

@@ -36,7 +36,7 @@ TARGETS = """targets AS (
 MENTIONS = f"""{TARGETS},
   pieces AS (SELECT doc_id, page, string_split_regex(text, '[0-9]+') AS gaps, regexp_extract_all(text, '[0-9]+') AS runs FROM page_text),
   tokens AS (SELECT doc_id, page, i, run, gaps[i] AS before, gaps[i + 1] AS after, runs[i + 1] AS next_run, gaps[i + 2] AS after_next,
-      CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(runs[1:i - 1], x -> length(x))), 0) AS INT) AS start
+      CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(runs[1:i - 1], lambda x: length(x))), 0) AS INT) AS start
     FROM (SELECT *, unnest(runs) AS run, unnest(range(1, len(runs) + 1)) AS i FROM pieces)),
   numbers AS (
     SELECT doc_id, page, start, start + length(run) AS "end", run AS number FROM tokens WHERE right(before, 1) <> '/' AND left(after, 1) <> '/'
@@ -92,7 +92,7 @@ def page_excerpts(spark, folder):
 def sql_hits():
     return "list_filter([" + ", ".join(
         f"CASE WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{name}' END" for name, words in D.CATEGORY_KEYWORDS.items()
-    ) + "], x -> x IS NOT NULL)"
+    ) + "], lambda x: x IS NOT NULL)"
 
 
 HITS = f"hits AS (SELECT doc_id, page, text, unnest({sql_hits()}) AS category FROM page_text)"
