@@ -75,8 +75,11 @@ def a15_mention_summary(spark, folder):
     return D.mention_summary(found, D.excerpts(X.page_text(spark, folder), found)).drop("sections")
 
 
-@query("x38_summary_sentence", BASE + f""" SELECT {KEY}, doc_id, 'Parcela ' || parcel_number || ' se v besedilu PDF-ja neposredno pojavlja ' || count(*) || '-krat na '
-    || count(DISTINCT page) FILTER (WHERE listed) || ' straneh.' AS opening FROM mentions GROUP BY ALL""")
+@query(
+    "x38_summary_sentence",
+    BASE + f""" SELECT {KEY}, doc_id, 'Parcela ' || parcel_number || ' se v besedilu PDF-ja neposredno pojavlja ' || n || '-krat na ' || p || ' straneh.' AS opening
+    FROM (SELECT {KEY}, doc_id, count(*) AS n, count(DISTINCT page) FILTER (WHERE listed) AS p FROM mentions GROUP BY ALL)""",
+)
 def x38_summary_sentence(spark, folder):
     found = mentions(spark, folder)
     s = D.mention_summary(found, D.excerpts(X.page_text(spark, folder), found))
