@@ -237,8 +237,13 @@ DIRECT = f"""
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Request log from ``events``, before any normalising."""
+    return requests_of(table(spark, folder, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """The same for a batch or a stream of events."""
     e = F.col("event_id")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.lit("R"), e.cast("string")).alias("request_id"),
         F.md5(e.cast("string")).alias("job_id"),
         F.col("ts").alias("requested_at"),

@@ -20,13 +20,7 @@ def events(spark, folder):
 
 def requests(spark, folder):
     """The request fixture over the stream of events."""
-    stream = events(spark, folder)
-    original = X.table
-    X.table = lambda *_: stream
-    try:
-        return X.requests(spark, folder)
-    finally:
-        X.table = original
+    return X.requests_of(events(spark, folder))
 
 
 @query(
