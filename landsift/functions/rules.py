@@ -252,9 +252,14 @@ HIDDEN_NAMES = ["***", "/"]
 HIDDEN_PART = "ni javen"
 
 
+def is_hidden_name(cleaned: Column) -> Column:
+    """Does a cleaned owner name (null if empty) stand for a hidden owner?"""
+    text = F.lower(cleaned)
+    return cleaned.isNull() | text.isin(HIDDEN_NAMES) | F.contains(text, F.lit(HIDDEN_PART))
+
+
 def is_hidden_owner(name: Column) -> Column:
-    text = F.lower(F.coalesce(T.clean_text(name), F.lit("")))
-    return (text == "") | text.isin(HIDDEN_NAMES) | F.contains(text, F.lit(HIDDEN_PART))
+    return is_hidden_name(T.clean_text(name))
 
 
 def owner_kind(named: Column, hidden: Column) -> Column:

@@ -25,8 +25,8 @@ def parse_jobs(texts: DataFrame, column: str = "value") -> DataFrame:
     """Job documents from JSON texts; unreadable ones and unknown statuses drop out."""
     job = F.from_json(F.col(column), JOB_SCHEMA, {"mode": "PERMISSIVE"})
     return (
-        texts.select(job.alias("job"))
-        .select("job.*")
+        # a generator keeps the filters from parsing the text again
+        texts.select(F.inline(F.array(job)))
         .filter(F.col("status").isin(STATUS_VALUES) & F.col("updated_at").isNotNull())
         .withColumn("updated_at", F.col("updated_at").try_cast("timestamp").cast("timestamp_ntz"))
         .filter(F.col("updated_at").isNotNull())

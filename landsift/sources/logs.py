@@ -17,7 +17,7 @@ def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     event = F.from_json(F.col(column), EVENT_FIELDS, {"mode": "PERMISSIVE"})
     moment = F.col("recorded_at").try_cast("timestamp").cast("timestamp_ntz")
     return (
-        lines.select(event.alias("e")).select("e.*").withColumn("recorded_at", moment).filter(F.col("recorded_at").isNotNull())
+        lines.select(F.inline(F.array(event))).withColumn("recorded_at", moment).filter(F.col("recorded_at").isNotNull())
     )
 
 
