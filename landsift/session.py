@@ -32,13 +32,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a scratch one only if none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="landsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        app = spark.sparkContext.applicationId
+        folder = _SCRATCH.setdefault(app, _SCRATCH.get(app) or tempfile.mkdtemp(prefix="landsift-"))
     return folder.rstrip("/")
 
 
