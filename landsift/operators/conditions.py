@@ -201,7 +201,9 @@ def topic_candidates(lines: DataFrame, titles: DataFrame) -> DataFrame:
         + F.when(title.contains("precisceno besedilo"), 4).otherwise(0)
         - F.when(title.contains("spremembe"), 2).otherwise(0)
     )
-    return first.select("doc_id", "page", "topic", "alias_index", "line", "excerpt", base.alias("base_score"))
+    return first.select("doc_id", "page", "topic", "alias_index", "line", "excerpt", base.alias("base_score"), T.fold(longest).alias("folded")).withColumn(
+        "words", word_text(F.col("folded"))
+    )
 
 
 def context_terms(contexts: DataFrame) -> DataFrame:
@@ -218,11 +220,20 @@ def context_terms(contexts: DataFrame) -> DataFrame:
     return terms.groupBy(*PARCEL_KEY).agg(F.transform(ordered, lambda t: t["term"]).alias("terms"))
 
 
-def terms_in(text: Column, terms: Column) -> Column:
-    """The terms a text holds; short ones only as whole words."""
+def word_text(folded: Column) -> Column:
+    """Text with everything but word characters blank, so that words stand between blanks."""
+    return F.concat(F.lit(" "), F.regexp_replace(folded, r"(?U)\W", " "), F.lit(" "))
+
+
+def terms_in(text: Column, words: Column, terms: Column) -> Column:
+    """The terms a folded text holds; those of up to three characters only as whole words.
+
+    ``words`` is the text's ``word_text``; only a short term with other characters in it
+    needs a pattern of its own."""
     def found(t):
-        word = F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
-        return F.when(F.length(t) <= 3, F.rlike(text, word)).otherwise(F.contains(text, t))
+        pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
+        short = F.when(t.rlike(r"(?U)^\w+$"), F.contains(words, F.concat(F.lit(" "), t, F.lit(" ")))).otherwise(F.rlike(text, pattern))
+        return F.when(F.length(t) <= 3, short).otherwise(F.contains(text, t))
 
     return F.filter(terms, found)
 
@@ -248,7 +259,7 @@ def best_conditions(parcels: DataFrame, links: DataFrame, contexts: DataFrame, c
         wanted.select("doc_id", "terms")
         .distinct()
         .join(candidates, "doc_id")
-        .withColumn("score", F.col("base_score") + 3 * F.size(terms_in(T.fold(F.col("excerpt")), F.col("terms"))))
+        .withColumn("score", F.col("base_score") + 3 * F.size(terms_in(F.col("folded"), F.col("words"), F.col("terms"))))
     )
     order = F.struct(F.col("score"), -F.col("page"), -F.col("alias_index"))
     per_doc = scored.groupBy("doc_id", "terms", "topic").agg(
@@ -325,7 +336,7 @@ def preemption_candidates(lines: DataFrame, titles: DataFrame) -> DataFrame:
     for phrase, weight in PREEMPTION_PHRASES:
         base = base + F.when(F.col("folded_excerpt").rlike(phrase), weight).otherwise(0)
     base = base + F.when(T.fold(F.col("title")).contains("odlok"), 3).otherwise(0)
-    return found.select("doc_id", "page", "line", "excerpt", "page_text", base.alias("base_score"))
+    return found.select("doc_id", "page", "line", "excerpt", "page_text", base.alias("base_score"), word_text(F.col("page_text")).alias("words"))
 
 
 def best_preemption(parcels: DataFrame, links: DataFrame, contexts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -336,7 +347,7 @@ def best_preemption(parcels: DataFrame, links: DataFrame, contexts: DataFrame, c
         wanted.select("doc_id", "terms")
         .distinct()
         .join(candidates, "doc_id")
-        .withColumn("matched", terms_in(F.col("page_text"), F.col("terms")))
+        .withColumn("matched", terms_in(F.col("page_text"), F.col("words"), F.col("terms")))
         .withColumn("score", F.col("base_score") + F.least(F.size("matched"), F.lit(3)) * 2)
     )
     order = F.struct(F.col("score"), -F.col("page"), -F.col("line"))
