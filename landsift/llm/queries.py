@@ -1,0 +1,67 @@
+"""The queries of this part, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landsift.llm import quality
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), tri AS (
+  SELECT rid, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c
+  FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS p FROM w WHERE len(w) > 2)
+), rep AS (
+  SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri) WHERE n > 1
+), cov AS (
+  SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY rid
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+    (length(t) - length(regexp_replace(t, '\p{L}', '', 'g')))::BIGINT AS n_letters,
+    (length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')))::BIGINT AS n_upper
+  FROM w LEFT JOIN cov USING (rid)
+), f AS (
+  SELECT *, (RULES)::BIGINT AS failures FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+""".replace("RULES", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES))
+
+
+@query("op7_quality_ledger", QUALITY_SQL)
+def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Ledger of every document and the verdict of the newest training policy."""
+    rows = quality.apply_policy(quality.ledger(table(spark, folder, "documents").select("doc_id", "text")))
+    return rows.select(
+        "doc_id",
+        *quality.MEASURES,
+        (F.col("failures").bitwiseAND(F.lit(3)) != 0).alias("base_failed"),
+        "kept",
+        "failures",
+    )
