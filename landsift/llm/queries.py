@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import quality
+from landsift.llm import mixing, quality
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,44 @@ def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
         "kept",
         "failures",
     )
+
+
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS z, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w
+  FROM d GROUP BY source
+), water AS (
+  SELECT 0 AS step, []::VARCHAR[] AS stopped, false AS null_stopped, (SELECT sum(z) FROM s)::BIGINT AS num, (SELECT sum(w) FROM s)::BIGINT AS den, true AS more
+  UNION ALL
+  SELECT step + 1, n.names, n.null_in, n.num, n.den, n.k > len(stopped) + null_stopped::INT FROM (
+    SELECT step, stopped, null_stopped, num AS num0, den AS den0, (
+      SELECT {'names': coalesce(list(source) FILTER (source IS NOT NULL AND over), []), 'null_in': coalesce(bool_or(over AND source IS NULL), false),
+        'num': ((SELECT sum(z) FROM s) - coalesce(sum(3 * z) FILTER (over), 0))::BIGINT, 'den': sum(w) FILTER (NOT over)::BIGINT, 'k': count(*) FILTER (over)}
+      FROM (SELECT *, 3 * z * water.den < water.num * w AS over FROM s)) AS n FROM water WHERE more AND step < 1000)
+), last AS (SELECT num, den FROM water ORDER BY step DESC LIMIT 1
+), t AS (
+  SELECT source, z, CASE WHEN 3 * z * den < num * w THEN (3 * z)::DOUBLE ELSE (w * num)::DOUBLE / den::DOUBLE END AS target,
+    CASE WHEN 3 * z * den < num * w THEN 3 * z ELSE (w * num) // den END AS whole FROM s, last
+), b AS (
+  SELECT *, CASE WHEN z > 0 THEN whole // z ELSE 0 END AS repeats FROM t
+), one AS (
+  SELECT d.*, z, target, repeats, whole - repeats * z AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS run
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), gap AS (
+  SELECT *, run <= budget AS first, budget - coalesce(max(run) FILTER (run <= budget) OVER (PARTITION BY source), 0) AS rest FROM one
+), two AS (
+  SELECT *, sum(CASE WHEN NOT first AND size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS run2 FROM gap
+)
+SELECT doc_id, size, z AS source_size, target, (size * (repeats + (first OR size <= rest AND run2 <= rest)::INT))::BIGINT AS taken FROM two
+"""
+
+
+@query("op6_mix_sources", MIXING_SQL)
+def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of all documents by the weights 5, 2, 1 of their sources."""
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
