@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import mixing, quality
+from landsift.llm import mixing, quality, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -106,3 +107,34 @@ SELECT doc_id, size, z AS source_size, target, (size * (repeats + (first OR size
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The mix of all documents by the weights 5, 2, 1 of their sources."""
     return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+@query("op3_token_files")
+def write_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in token files, and what the files give back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.read(token_files.write(table(spark, folder, "documents"), path))
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), s AS (
+  SELECT page_id, first, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM s
+"""
+
+
+@query("op8_warc_index", WARC_SQL)
+def warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages in archives, looked up by the keys of their URLs and read back by ranges."""
+    pages = table(spark, folder, "pages")
+    _, directory = warc.archive(pages)
+    found = warc.fetch(warc.lookup(warc.keys_of(pages), directory), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
