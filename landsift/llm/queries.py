@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import mixing, quality, token_files, warc
+from landsift.llm import mixing, ngram_join, quality, token_files, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,28 @@ def warc_index(spark: SparkSession, folder: str) -> DataFrame:
     _, directory = warc.archive(pages)
     found = warc.fetch(warc.lookup(warc.keys_of(pages), directory), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 90 * (x.n + y.n - o)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c ON c.doc_id = d.doc_id
+"""
+
+
+@query("op5_ngram_jaccard", JACCARD_SQL)
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles link at 0.9."""
+    return ngram_join.join(table(spark, folder, "documents").select("doc_id", "text"))
