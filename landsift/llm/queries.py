@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import mixing, ngram_join, quality, token_files, warc
+from landsift.llm import mixing, ngram_join, quality, token_files, topk, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,23 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c ON c.doc_i
 def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents whose sets of three-word shingles link at 0.9."""
     return ngram_join.join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op10_top_k", TOP_SQL)
+def top_ten(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best partners, among all vectors, of every vector whose id 100 divides."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
