@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import mixing, ngram_join, quality, token_files, topk, warc
+from landsift.llm import licenses, mixing, ngram_join, quality, token_files, topk, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -183,3 +183,49 @@ SELECT query_id, rank, vec_id, score FROM (
 def top_ten(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best partners, among all vectors, of every vector whose id 100 divides."""
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+LICENSE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT rid, unnest(w) AS x, unnest(range(0, len(w))) AS pos, w FROM d
+), f(parts, label) AS (VALUES PHRASES
+), hit AS (
+  SELECT rid, pos, label FROM p JOIN f ON x = parts[1] AND w[pos + 1 : pos + len(parts)] = parts
+), base AS (
+  SELECT rid, count(*) AS n, min(pos) AS a, max(pos) AS z, list(DISTINCT label) AS labels FROM hit GROUP BY rid
+), t(k, label, size, need, tokens) AS (VALUES TEMPLATES
+), token AS (SELECT k, label, size, need, unnest(tokens) AS x FROM t
+), shared AS (
+  SELECT rid, b, k, label, size, need, count(DISTINCT x) AS n FROM (
+    SELECT rid, unnest([pos // 32, pos // 32 - 1]) AS b, x FROM p) JOIN token USING (x) WHERE b >= 0 GROUP BY ALL
+), found AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(n::DOUBLE / size::DOUBLE) AS best FROM shared WHERE n >= need GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+def _listed(tokens) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in tokens) + "]"
+
+
+LICENSE_SQL = LICENSE_SQL.replace("PHRASES", ", ".join(f"({_listed(licenses.words(p))}, '{label}')" for p, label in licenses.PHRASES.items())).replace(
+    "TEMPLATES",
+    ", ".join(
+        f"({k}, '{label}', {len(s)}, {-((-licenses.THRESHOLD * len(s)) // 1)}, {_listed(sorted(s))})"
+        for k, (label, s) in enumerate(licenses.template_sets(licenses.TEMPLATES))
+    ),
+)
+
+
+@query("op4_license_scan", LICENSE_SQL)
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and blocks that hold 0.8 of a template's tokens, in all documents."""
+    return licenses.scan(table(spark, folder, "documents"))
