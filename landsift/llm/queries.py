@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import licenses, mixing, ngram_join, quality, token_files, topk, warc
+from landsift.llm import licenses, mixing, ngram_join, packing, quality, token_files, topk, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -229,3 +229,10 @@ LICENSE_SQL = LICENSE_SQL.replace("PHRASES", ", ".join(f"({_listed(licenses.word
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and blocks that hold 0.8 of a template's tokens, in all documents."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op1_pack_sequences")
+def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, cut and packed into sequences of 1024 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.pieces(table(spark, folder, "documents"), path))
