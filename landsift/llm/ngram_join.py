@@ -7,7 +7,7 @@ segment per fragment. Overlaps are counted fragment by fragment and summed per p
 1. Texts with equal sets are one class, found by a fingerprint of the set. Sets that link
    with d different n-grams agree on all but d fragments, so with more fragments than that
    they share an equal, non-empty segment: (fragment, segment) is the bucket of a candidate.
-2. Each bucket's smallest document is its leader. Overlaps of each document with its
+2. Each bucket's class of most copies (by powers of two) is its leader. Overlaps of each document with its
    leaders are counted per fragment of 16, with what differs, and summed.
 3. Two documents of a bucket that both link with its leader need no test. For any other pair
    the sets of differences from the leader must overlap by more than half of the smaller
@@ -257,8 +257,10 @@ def link_classes(docs: DataFrame, linking: Linking, key: str, text: str) -> tupl
     """
     made = written(_signatures(docs, linking, key, text), "ngram-sets")
     same = ["h1", "h2", "n"]
-    classes = made.filter("n > 0").groupBy(*same).agg(F.min("id").alias("first"))
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "ngram-classes")
+    classes = made.filter("n > 0").groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    # a number below 2^54 (for up to 2^21 partitions), behind one that puts many copies first
+    rank = F.shiftleft(F.lit(63).cast("long") - F.floor(F.log2("copies")), 54)
+    classes = written(classes.withColumn("class", rank + F.monotonically_increasing_id()).drop("copies"), "ngram-classes")
     firsts = made.filter("size(keys) > 0").select("id", *same, "keys")
     chosen = classes.select("class", F.col("first").alias("id"), *same)
     same_key = F.col("made.id").eqNullSafe(F.col("c.id"))
@@ -312,16 +314,18 @@ def _around(counted: DataFrame, linking: Linking) -> DataFrame:
     most = F.expr(f"int(floor((n + n * {linking.whole} / {linking.part}) * {less} / {more} + 0.000001)) + 1")
     ranked = written(ranked.withColumns({"half": half, "most": F.least(most, F.col("differ"))}), "ngram-prefixes")
 
-    def prefix(rows: DataFrame, length: str, name: str) -> DataFrame:
-        taken = rows.select("leader", F.col("id").alias(name), F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col(length).cast("int")))).alias("t"))
-        return taken.filter("t.often > 1").select("leader", F.col("t.g").alias("g"), name)
-
-    x_half = prefix(ranked.filter("NOT linked"), "half", "x")
-    x_most = prefix(ranked.filter("NOT linked"), "most", "x")
-    y_linked = prefix(ranked.filter("linked"), "half", "y")
-    both = x_half.join(x_half.withColumnRenamed("x", "y"), ["leader", "g"]).filter("x < y")
-    one = x_most.join(y_linked, ["leader", "g"])
-    tried = both.select("leader", "x", "y").unionByName(one.select("leader", "x", "y")).distinct()
+    def prefix(rows: DataFrame, length: str, a: str) -> DataFrame:
+        """Differences in the prefix that others have too, each with how many it and its followers are."""
+        some = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col(length).cast("int")))
+        taken = rows.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("differ").alias(f"d{a}"), F.posexplode(some).alias("at", "t"))
+        return taken.filter("t.often > 1").select("leader", F.col("t.g").alias("g"), a, f"n{a}", f"d{a}", (F.col(f"d{a}") - F.col("at")).alias(f"r{a}"))
+
+    # differences that two must share to link, against those that are left from here on
+    enough = F.expr(f"2 * least(rx, ry) >= dx + dy - (nx + ny) * {less} div {more}")
+    x_half, x_most = prefix(ranked.filter("NOT linked"), "half", "x"), prefix(ranked.filter("NOT linked"), "most", "x")
+    y_half, y_linked = prefix(ranked.filter("NOT linked"), "half", "y"), prefix(ranked.filter("linked"), "half", "y")
+    same = lambda x, y, also: x.alias("p").join(y.alias("q"), (F.col("p.leader") == F.col("q.leader")) & (F.col("p.g") == F.col("q.g")) & enough & also)
+    tried = same(x_half, y_half, F.expr("x < y")).select("p.leader", "x", "y").unionByName(same(x_most, y_linked, F.lit(True)).select("p.leader", "x", "y")).distinct()
     side = lambda a: ranked.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.transform("d", lambda t: t["g"]).alias(f"d{a}"))
     tested = tried.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
     tested = tested.withColumn("differ", F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy")))
