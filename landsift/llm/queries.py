@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import licenses, mixing, ngram_join, packing, quality, token_files, topk, warc
+from landsift.llm import licenses, mixing, ngram_join, packing, pii, quality, token_files, topk, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -236,3 +236,9 @@ def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, cut and packed into sequences of 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.pieces(table(spark, folder, "documents"), path))
+
+
+@query("op9_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: base spans, and those that boosted trees add."""
+    return pii.find(table(spark, folder, "documents"))
