@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import licenses, mixing, ngram_join, packing, pii, quality, token_files, topk, warc
+from landsift.llm import licenses, mixing, ngram_join, packing, pii, quality, token_files, topk, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -242,3 +242,9 @@ def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents: base spans, and those that boosted trees add."""
     return pii.find(table(spark, folder, "documents"))
+
+
+@query("op2_toxicity")
+def score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that may be learned."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
