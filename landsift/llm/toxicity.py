@@ -7,7 +7,7 @@ toxic sentences from others, and common words. The machine learns on words of la
 sentences (a document's label holds for its sentences), then again with the clean words it
 took for insults. Its decision is a sum over landmarks of kernel values, and as these are
 sums over triples it comes down to one table of triples: a word is scored by lookups. A
-document's two highest words are calibrated to its score by a logistic fit on documents the
+document's highest word is calibrated to its score by a logistic fit on documents the
 machine has not learned from.
 """
 
@@ -28,13 +28,15 @@ from landsift.llm.token_ids import slices
 SPAN, DECAY = 6, 0.6
 #: Letters of a window; longer words are cut into overlapping ones.
 WINDOW = 24
-#: Documents, about, whose labels are learned from, half for the machine and half for scores.
+#: Documents, about, whose labels are learned from, a quarter of them for calibration.
 LABELLED = 12_000
 #: Landmarks of either kind; words that are learned from.
 LANDMARKS, COMMON, OTHERS, HARD = 160, 96, 3000, 1500
-#: Weight of a document's third-part: learned labels have another remainder than this.
+#: Labels are learned only where the CRC-32 of the key leaves another remainder.
 PARTS, HELD_OUT = 3, 1
 CODES = 64
+#: Words whose margins a worker keeps; when there are more, it starts anew.
+KNOWN_WORDS = 500_000
 _START, _END = 1, 2
 #: Digits that stand for letters.
 _LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -113,7 +115,7 @@ class Machine:
 
     table: np.ndarray
     bias: float
-    logit: tuple[float, float, float] = (0.0, 0.0, -4.0)
+    logit: tuple[float, float] = (0.0, -4.0)
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias, np.float64)
@@ -125,10 +127,6 @@ class Machine:
                 np.maximum.at(out, places[a : a + 20_000], value)
         return out
 
-    def score(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        a, b, c = self.logit
-        return 1 / (1 + np.exp(-np.clip(a * first + b * second + c, -30, 30)))
-
 
 def kernel_rows(words: list[str], columns: np.ndarray) -> np.ndarray:
     """Normalised triples of words over the given columns (sorted triples), one row per word."""
@@ -199,41 +197,33 @@ def spelled(words: list[str]) -> list[str]:
 _SPLIT = "[" + BLANKS + "]+"
 
 
-def _top_two(batch: pa.RecordBatch, machine: Machine, known: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """The two highest distinct words of each text in a batch with column ``t``."""
+def _top(batch: pa.RecordBatch, machine: Machine, known: dict[str, float]) -> np.ndarray:
+    """The margin of the highest word of each text in a batch with column ``t``."""
     texts = pc.fill_null(batch.column("t"), "")
     split = pc.split_pattern_regex(pc.utf8_lower(texts), _SPLIT)
-    counts = np.diff(split.offsets.to_numpy())
+    offsets = split.offsets.to_numpy()
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist() if len(coded) == 0 else list(coded.dictionary.to_numpy(zero_copy_only=False))
+    words = list(coded.dictionary.to_numpy(zero_copy_only=False))
+    if len(known) > KNOWN_WORDS:
+        known.clear()
     new = [w for w in words if w not in known]
-    if new:
-        if len(known) > 500_000:
-            known.clear()
-            new = words
-        known.update(zip(new, machine.margins(new).tolist(), strict=True))
-    value = np.array([known[w] for w in words], np.float64)
+    known.update(zip(new, machine.margins(new).tolist(), strict=True))
     at = coded.indices.to_numpy()
-    single = np.array([len(w) == 1 and w.isalpha() for w in words], np.bool_)
-    ends = np.cumsum(counts)
-    first, second = np.full(len(counts), machine.bias), np.full(len(counts), machine.bias)
-    for i, (z, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-        mine = at[z - n : z]
-        v = value[mine]
-        s = single[mine] if len(single) else np.zeros(0, np.bool_)
-        if n > 2 and (s[:-2] & s[1:-1] & s[2:]).any():
-            extra = spelled([words[k] for k in mine.tolist()])
-            v = np.concatenate([v, machine.margins(extra)])
-        if len(v):
-            k = int(v.argmax())
-            first[i] = v[k]
-            rest = v[:n][mine != mine[k]] if k < n else v[:k]
-            second[i] = rest.max() if len(rest) else machine.bias
-    return first, second
+    value = np.array([known[w] for w in words], np.float64)[at]
+    top = np.full(len(batch), machine.bias)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        top[some] = np.maximum.reduceat(value, offsets[some])
+    single = np.array([len(w) == 1 and w.isalpha() for w in words], np.bool_)[at]
+    runs = np.flatnonzero(single[:-2] & single[1:-1] & single[2:])
+    for i in np.unique(np.searchsorted(offsets, runs, side="right") - 1).tolist():
+        joined = spelled([words[k] for k in at[offsets[i] : offsets[i + 1]].tolist()])
+        top[i] = max([top[i], *machine.margins(joined).tolist()])
+    return top
 
 
 def _margins(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the margins of the two highest words of column ``t``."""
+    """``keep`` columns and the margin of the highest word of column ``t``."""
     spec = docs.sparkSession.sparkContext.broadcast((machine.table, machine.bias))
 
     def run(batches):
@@ -241,27 +231,26 @@ def _margins(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
         machine, known = Machine(table, bias), {}
         for batch in batches:
             for some in slices(batch, "t"):
-                first, second = _top_two(some, machine, known)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(first), pa.array(second)], [*keep, "first", "second"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(_top(some, machine, known))], [*keep, "top"])
 
     kinds = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keep)
-    return docs.select(*keep, "t").mapInArrow(run, f"{kinds}, first double, second double")
+    return docs.select(*keep, "t").mapInArrow(run, f"{kinds}, top double")
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int) -> DataFrame:
-    """id, t, y and half of about ``bound`` documents whose labels may be learned.
+    """id, t, y and part (1 of a quarter, for calibration) of about ``bound`` documents whose labels may be learned.
 
     Null labels are left out; of several labels of a document the highest holds.
     """
-    part = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(PARTS))
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & (part != HELD_OUT))
+    remainder = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(PARTS))
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & (remainder != HELD_OUT))
     known = known.groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = written(known, "toxic-labels")
     n = known.count()
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     known = known.filter(drawn * F.lit(float(max(n, 1))) < F.lit(1_000_000.0 * bound))
-    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).alias("half")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(known, "id").select("id", "t", "y", half)
+    part = F.when(F.pmod(F.xxhash64("id", F.lit("part")), F.lit(4)) == 0, 1).otherwise(0).alias("part")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(known, "id").select("id", "t", "y", part)
 
 
 def _word_counts(learned: DataFrame) -> DataFrame:
@@ -287,11 +276,11 @@ def _word_counts(learned: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = LABELLED) -> Machine:
     """Learn from labelled documents whose key's CRC-32 does not leave the held-out remainder.
 
-    All that reaches the driver has a fixed size: landmarks, words learned from, and two
-    margins for each of the labelled documents used for calibration.
+    All that reaches the driver has a fixed size: landmarks, words learned from, and one
+    margin for each of the labelled documents used for calibration.
     """
     learned = written(_labelled(docs, labels, key, text, label, bound), "toxic-learned")
-    counts = written(_word_counts(learned.filter("half = 0")), "toxic-words")
+    counts = written(_word_counts(learned.filter("part = 0")), "toxic-words")
     total = counts.agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     if not total["n"] or not total["bad"] or not total["good"]:
         return Machine(np.zeros(CODES**3, np.float32), -1.0)
@@ -319,20 +308,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         good |= {r["word"]: 1.0 for r in hard}
         more = bad | {r["word"]: 0.5 for r in rare if r["word"] not in bad}
         machine = fit(more, good, landmarks)
-    tried = _margins(learned.filter("half = 1").withColumn("y", F.col("y").cast("long")), machine, ["y"]).select("y", "first", "second").collect()
-    machine.logit = calibrate(np.array([r["first"] for r in tried]), np.array([r["second"] for r in tried]), np.array([float(r["y"]) for r in tried]))
+    tried = _margins(learned.filter("part = 1").withColumn("y", F.col("y").cast("long")), machine, ["y"]).collect()
+    machine.logit = calibrate(np.array([r["top"] for r in tried]), np.array([float(r["y"]) for r in tried]))
     return machine
 
 
-def calibrate(first: np.ndarray, second: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of a logistic fit with a little shrinkage; (0, 0, -4) without both labels."""
+def calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Weight and constant of a logistic fit with a little shrinkage; (0, -4) without both labels."""
     if not len(y) or y.min() == y.max():
-        return (0.0, 0.0, -4.0)
-    x = np.stack([first, second, np.ones(len(y))], axis=1)
-    w = np.zeros(3)
+        return (0.0, -4.0)
+    x = np.stack([top, np.ones(len(y))], axis=1)
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (y - p) - 0.05 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(2), x.T @ (y - p) - 0.02 * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -349,9 +338,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     machine = train(docs, labels, key, text, label)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    a, b, c = machine.logit
+    a, b = machine.logit
     out = _margins(rows, machine, ["doc_id"])
     part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(PARTS))
-    value = 1 / (1 + F.exp(-(F.lit(a) * F.col("first") + F.lit(b) * F.col("second") + F.lit(c))))
+    value = 1 / (1 + F.exp(-(F.lit(a) * F.col("top") + F.lit(b))))
     out = out.select("doc_id", (part == HELD_OUT).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
