@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landsift.llm import quality
+from landsift.llm import mixing, ngram_join, packing, pii, quality
+from landsift.llm.common import written
 
-STAGES: list = []
-#: Entity resolution by trees and a genetic algorithm cannot be said in SQL.
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+NEAR = ngram_join.Linking(n=5, part=8, whole=10)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the newest training policy rejects."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = quality.apply_policy(quality.ledger(docs.select(row, F.col("text").alias("text"))))
+    return judged.filter("kept").select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return ngram_join.first_of_each(docs, NEAR)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.apply(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("personal data", personal_data),
+    ("mixing sources", mix),
+    ("best-fit packing", pack),
+]
+#: Trees boosted on the documents and a genetic algorithm cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, "pipeline")
     return docs

@@ -126,38 +126,48 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     that still fit it, by a threshold among these. A source that takes all of its documents
     again cannot leave a rest, as a budget is smaller than its source.
     """
-    sizes = written(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-        .withColumn("h", hash_of(F.col("doc_id"))),
-        "mix-sizes",
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    sizes = written(rows.withColumn("h", hash_of(F.col("doc_id"))), "mix-sizes")
+    return _decided(sizes, *_plan(sizes, weights)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def apply(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``docs`` as the mix takes them: every row as often as it is taken, most not at all."""
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hash_of(F.col(key)).alias("h"),
     )
+    sizes = written(named.select("source", "size", "h"), "mix-sizes")
+    taken = _decided(named, *_plan(sizes, weights)).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).select("row.*")
+
+
+def _plan(sizes: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
+    """Targets and thresholds of the sources, from source, size and h of all documents."""
     targets = written(source_targets(sizes, weights), "mix-targets")
     rest = targets.select("source", "budget")
     limits: list[DataFrame] = []
     for _ in range(FILLS):
         offered = _marked(sizes, limits).filter("NOT again").select("source", "h", "size")
         if limits:
-            offered = offered.join(small(rest.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).filter("size <= budget").select("source", "h", "size")
+            known = small(rest.withColumnRenamed("source", "_s"))
+            offered = offered.join(known, F.col("source").eqNullSafe(F.col("_s"))).filter("size <= budget").select("source", "h", "size")
         found = thresholds(offered, rest)
-        limits.append(written(found.join(rest.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
-            "source", "limit", "budget"), "mix-limits"))
+        both = found.join(rest.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        limits.append(written(both.select("source", "limit", "budget"), "mix-limits"))
         rest = found.select("source", F.col("left").alias("budget"))
-    whole = targets.withColumnRenamed("source", "_s")
-    return (
-        _marked(sizes, limits)
-        .join(small(whole), F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * (F.col("repeats") + F.col("again").cast("long"))).alias("taken"),
-        )
-    )
+    return targets, limits
+
+
+def _decided(rows: DataFrame, targets: DataFrame, limits: list[DataFrame]) -> DataFrame:
+    """``rows`` with source_size, target and times, how often each is taken."""
+    whole = small(targets.drop("budget").withColumnRenamed("source", "_s"))
+    joined = _marked(rows, limits).join(whole, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return joined.withColumn("times", F.col("repeats") + F.col("again").cast("long"))
 
 
 def _marked(sizes: DataFrame, limits: list[DataFrame]) -> DataFrame:
-    """``sizes`` with ``again``: below a threshold at which it was on offer."""
+    """``sizes`` (with source, size, h) with ``again``: below a threshold at which it was on offer."""
     out = sizes
     names = []
     for k, limit in enumerate(limits):

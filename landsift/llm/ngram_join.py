@@ -347,3 +347,24 @@ def join(docs: DataFrame, linking: Linking | None = None, key: str = "doc_id", t
     named = written(found.join(smallest, "component").select("h1", "h2", "n", "component_id"), "ngram-components")
     out = sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, linking: Linking, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that link, directly or through others, with a smaller key.
+
+    Documents without words stay. Rows that share a key stay if one of them is the first of
+    its component; of rows that repeat key and text one stays. Rows without a key stay.
+    """
+    found = written(join(docs, linking, key, text), "ngram-first")
+    dropped = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.when((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id")), 1).otherwise(0)).alias("later"),
+        F.count("*").alias("rows"),
+    )
+    dropped = written(dropped.filter("later = 1 OR rows > 1"), "ngram-dropped")
+    later = dropped.filter("later = 1").select(F.col("doc_id").alias("_k"))
+    repeated = dropped.filter("later = 0").select(F.col("doc_id").alias("_k"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    kept = rows.join(later, F.col("_key") == F.col("_k"), "left_anti")
+    once = kept.join(repeated, F.col("_key") == F.col("_k"), "left_anti")
+    more = kept.join(repeated, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key", "_text"])
+    return once.select("row.*").unionByName(more.select("row.*"))
