@@ -140,7 +140,7 @@ def buckets(grams: np.ndarray, linking: Linking, begins: list[int]) -> np.ndarra
         values = grams
         for cut in range(CUTS):
             if cut:
-                values = np.sort(_mix(grams + np.uint64(cut) * _STEP))
+                values = np.sort(_mix(grams + np.uint64(cut * int(_STEP) % 2**64)))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(values + np.uint64(7)))])
             ends = np.searchsorted(values >> np.uint64(11), (np.arange(1, m, dtype=np.float64) * (2.0**53 / m)).astype(np.uint64))
             ends = np.concatenate([[0], ends, [n]])

@@ -296,11 +296,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Overlapping spans become one, under the kind of the first. Null texts stay null.
     """
-    model = train(written(candidates(docs, key, text), "pii-candidates"))
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = candidates(rows, "_key", "_text", keep=("_row",)).withColumn("_spans", _all_spans(model))
+    found = written(candidates(rows, "_key", "_text", keep=("_row",)), "pii-candidates")
+    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    rows = found.select("_row", _all_spans(train(found)).alias("_spans"))
     t = F.col(f"_row.`{text}`")
     done = F.aggregate(
         "_spans",

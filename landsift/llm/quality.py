@@ -132,7 +132,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )["n"]
     made = made.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    return made.select(*kept, *MEASURES, *MORE)
+    # a filter on measurements must not be pushed below: it would evaluate them again per element
+    both = F.explode_outer(F.array(F.struct(*MEASURES, *MORE))).alias("_m")
+    return made.select(*kept, both).select(*kept, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
