@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import written
+from landsift.llm.common import small, written
 from landsift.llm.token_ids import slices
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 16
+#: Rows of a few numbers that may be sent to every task instead of shuffling texts.
+FEW = 500_000
 #: Other cuts for sets that leave too many fragments empty.
 CUTS = 4
 
@@ -267,12 +269,15 @@ def link_classes(docs: DataFrame, linking: Linking, key: str, text: str) -> tupl
     for c in same:
         same_key = same_key & (F.col(f"made.{c}") == F.col(f"c.{c}"))
     rows = firsts.alias("made").join(chosen.alias("c"), same_key).select(F.col("class").alias("id"), F.explode("keys").alias("key"))
+    # dealt out once: leaders and members are found in the same partitions, where a bucket's
+    # rows (two numbers each) stream past its one leader
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
-    leaders = written(leaders, "ngram-buckets")
     pairs = written(rows.join(leaders, "key").filter("id <> leader").select("id", "leader").distinct(), "ngram-pairs")
 
     ids = pairs.select(F.col("id").alias("class")).unionByName(pairs.select(F.col("leader").alias("class"))).distinct()
-    segments = written(_segments(docs, classes.join(ids, "class"), linking, key, text), "ngram-segments")
+    wanted = written(classes.join(ids, "class").select("class", "first", "h1", "h2"), "ngram-wanted")
+    segments = written(_segments(docs, small(wanted, FEW), linking, key, text), "ngram-segments")
     mine = segments.select("id", "f", F.col("grams").alias("g"))
     theirs = segments.select(F.col("id").alias("leader"), "f", F.col("grams").alias("h"))
     counted = (
@@ -302,23 +307,25 @@ def _around(counted: DataFrame, linking: Linking) -> DataFrame:
     to no pair.
     """
     less, more = linking.whole - linking.part, linking.whole + linking.part
-    open_leaders = counted.filter("NOT linked").select("leader").distinct()
-    group = counted.join(open_leaders, "leader", "left_semi")
-    each = group.select("leader", "id", "n", "m", "differ", "linked", F.explode("d").alias("g"))
-    often = each.groupBy("leader", "g").agg(F.count("*").alias("often"))
-    ranked = each.join(often, ["leader", "g"]).groupBy("leader", "id", "n", "m", "differ", "linked").agg(
-        F.array_sort(F.collect_list(F.struct("often", "g"))).alias("d")
-    )
+    # a leader with one document, or that all its documents link with, needs no test
+    tested_leaders = counted.groupBy("leader").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("open")).filter("k > 1 AND open > 0")
+    group = counted.join(tested_leaders.select("leader"), "leader", "left_semi")
+    each = group.select("leader", "id", F.explode("d").alias("g"))
+    often = each.groupBy("leader", "g").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = each.join(often, ["leader", "g"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("d"))
+    ranked = group.select("leader", "id", "n", "m", "differ", "linked").join(shared, ["leader", "id"])
     # most by which y may miss: its differences less the overlap it must have with any x
     half = F.expr(f"differ - greatest(1, int(ceil((differ + (m - n) * {less} / {more}) / 2 - 0.000001))) + 1")
     most = F.expr(f"int(floor((n + n * {linking.whole} / {linking.part}) * {less} / {more} + 0.000001)) + 1")
     ranked = written(ranked.withColumns({"half": half, "most": F.least(most, F.col("differ"))}), "ngram-prefixes")
 
     def prefix(rows: DataFrame, length: str, a: str) -> DataFrame:
-        """Differences in the prefix that others have too, each with how many it and its followers are."""
-        some = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col(length).cast("int")))
-        taken = rows.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("differ").alias(f"d{a}"), F.posexplode(some).alias("at", "t"))
-        return taken.filter("t.often > 1").select("leader", F.col("t.g").alias("g"), a, f"n{a}", f"d{a}", (F.col(f"d{a}") - F.col("at")).alias(f"r{a}"))
+        """Differences in the prefix that others have too, each with how many it and its followers are.
+
+        Those of the document alone come before them in the order."""
+        some = F.slice("d", F.lit(1), F.greatest(F.lit(0), (F.col(length) - F.col("differ") + F.size("d")).cast("int")))
+        taken = rows.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("differ").alias(f"d{a}"), F.size("d").alias("held"), F.posexplode(some).alias("at", "t"))
+        return taken.select("leader", F.col("t.g").alias("g"), a, f"n{a}", f"d{a}", (F.col("held") - F.col("at")).alias(f"r{a}"))
 
     # differences that two must share to link, against those that are left from here on
     enough = F.expr(f"2 * least(rx, ry) >= dx + dy - (nx + ny) * {less} div {more}")
@@ -326,9 +333,9 @@ def _around(counted: DataFrame, linking: Linking) -> DataFrame:
     y_half, y_linked = prefix(ranked.filter("NOT linked"), "half", "y"), prefix(ranked.filter("linked"), "half", "y")
     same = lambda x, y, also: x.alias("p").join(y.alias("q"), (F.col("p.leader") == F.col("q.leader")) & (F.col("p.g") == F.col("q.g")) & enough & also)
     tried = same(x_half, y_half, F.expr("x < y")).select("p.leader", "x", "y").unionByName(same(x_most, y_linked, F.lit(True)).select("p.leader", "x", "y")).distinct()
-    side = lambda a: ranked.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.transform("d", lambda t: t["g"]).alias(f"d{a}"))
+    side = lambda a: ranked.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("differ").alias(f"z{a}"), F.transform("d", lambda t: t["g"]).alias(f"d{a}"))
     tested = tried.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
-    tested = tested.withColumn("differ", F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy")))
+    tested = tested.withColumn("differ", F.col("zx") + F.col("zy") - 2 * F.size(F.array_intersect("dx", "dy")))
     return tested.filter(_linked("differ", "nx + ny", linking)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
@@ -361,8 +368,8 @@ def first_of_each(docs: DataFrame, linking: Linking, key: str = "doc_id", text:
         F.count("*").alias("rows"),
     )
     dropped = written(dropped.filter("later = 1 OR rows > 1"), "ngram-dropped")
-    later = dropped.filter("later = 1").select(F.col("doc_id").alias("_k"))
-    repeated = dropped.filter("later = 0").select(F.col("doc_id").alias("_k"))
+    later = small(dropped.filter("later = 1").select(F.col("doc_id").alias("_k")), FEW)
+    repeated = small(dropped.filter("later = 0").select(F.col("doc_id").alias("_k")), FEW)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     kept = rows.join(later, F.col("_key") == F.col("_k"), "left_anti")
     once = kept.join(repeated, F.col("_key") == F.col("_k"), "left_anti")
