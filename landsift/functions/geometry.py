@@ -137,11 +137,8 @@ def segment_geometry(p: str = "") -> Column:
     )
 
 
-def to_wkt(geom: Column, max_length: int | None = None) -> Column:
-    """Polygon text with three decimals; a counter-clockwise ring opens a polygon.
-
-    With ``max_length`` longer texts fall back to the bounding box, which is a
-    different shape; off by default."""
+def to_wkt(geom: Column) -> Column:
+    """Polygon text with three decimals; a counter-clockwise ring opens a polygon."""
 
     def ring(xs, ys):
         points = F.zip_with(xs, ys, lambda x, y: F.format_string("%.3f %.3f", x, y))
@@ -164,18 +161,9 @@ def to_wkt(geom: Column, max_length: int | None = None) -> Column:
         ),
         "",
     )
-    full = F.when(polygons > 1, F.concat(F.lit("MULTIPOLYGON(("), inner, F.lit("))"))).otherwise(
+    return F.when(polygons > 1, F.concat(F.lit("MULTIPOLYGON(("), inner, F.lit("))"))).otherwise(
         F.concat(F.lit("POLYGON("), inner, F.lit(")"))
     )
-    if max_length is None:
-        return full
-    b = bbox(geom)
-    x0, y0, x1, y1 = (b[k].cast("string") for k in ("x0", "y0", "x1", "y1"))
-    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
-    box = F.concat(
-        F.lit("POLYGON(("), F.concat_ws(",", *[F.concat(x, F.lit(" "), y) for x, y in corners]), F.lit("))")
-    )
-    return F.when(F.length(full) <= max_length, full).otherwise(box)
 
 
 def valid_geometry(df: DataFrame, column: str = "geom") -> DataFrame:

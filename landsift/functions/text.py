@@ -95,8 +95,8 @@ def share_percent(c: Column) -> Column:
     text = F.regexp_replace(c, BLANKS, "")
     whole = text.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")
     ratio = text.rlike(r"^[-+]?\d+/\d+$")
-    top = F.split_part(text, F.lit("/"), F.lit(1)).try_cast("bigint")
-    low = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("bigint")
+    top = F.split_part(text, F.lit("/"), F.lit(1)).try_cast("double")
+    low = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("double")
     value = F.when(ratio, F.try_divide(100 * top, low)).when(whole, 100 * text.try_cast("double"))
     return F.bround(value, 2)
 

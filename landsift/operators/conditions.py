@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,29 +72,51 @@ PREEMPTION_BASIS = "199.–201. člen Zakona o urejanju prostora (ZUreP-3) in ve
 # Columns gaps that split a page in two.
 GAP_RANGE, GAP_COUNT = (45, 115), 8
 
-_GAP = re.compile(" {8,}")
-_HYPHEN = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
-
-
-def _page_lines(text: str) -> list[str]:
-    """Lines of a page without blank ones: two columns set one after the other, words
-    broken at line ends joined, blanks collapsed."""
-    raw = text.splitlines()
-    middles = []
-    for line in raw:
-        first, last = len(line) - len(line.lstrip()), len(line.rstrip())
-        spans = [m.span() for m in _GAP.finditer(line)]
-        middles += [(lo + hi) / 2 for lo, hi in spans if first < lo and hi < last]
-    middles = [m for m in middles if GAP_RANGE[0] <= m <= GAP_RANGE[1]]
-    if len(middles) >= GAP_COUNT:
-        cut = round(float(np.median(middles)))
-        text = "\n".join([line[:cut].rstrip() for line in raw] + [line[cut:].rstrip() for line in raw])
-    squeezed = (" ".join(line.split()) for line in _HYPHEN.sub("", text).splitlines())
-    return [line for line in squeezed if line]
-
-
-def clean_lines(text: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(_page_lines, na_action="ignore"), "array<string>")(text)
+GAP = " {8,}+"
+BROKEN_WORD = "(?U)(?<=\\w)-\\s*\\n\\s*(?=\\w)"
+
+
+def _gap_middles(line: Column) -> Column:
+    """Middles of the wide gaps between the words of a line, as places from 0."""
+    body = F.regexp_replace(line, "(?U)\\s+$", "")
+    gaps, words = F.regexp_extract_all(body, F.lit(GAP), F.lit(0)), F.split(body, GAP, -1)
+    walked = F.aggregate(
+        F.arrays_zip(gaps.alias("g"), F.slice(words, F.lit(1), F.size(gaps)).alias("w")),
+        F.struct(F.lit(0).alias("at"), F.lit(False).alias("text"), F.array().cast("array<double>").alias("middles")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["w"]) + F.length(x["g"])).alias("at"),
+            (a["text"] | x["w"].rlike("(?U)\\S")).alias("text"),
+            F.when(
+                a["text"] | x["w"].rlike("(?U)\\S"),
+                F.concat(a["middles"], F.array((a["at"] + F.length(x["w"]) + F.length(x["g"]) / 2).cast("double"))),
+            ).otherwise(a["middles"]).alias("middles"),
+        ),
+    )
+    return walked["middles"]
+
+
+def with_clean_lines(pages: DataFrame, text: str = "text", name: str = "lines") -> DataFrame:
+    """``pages`` with the lines of each page without blank ones: two columns set one after
+    the other, words broken at line ends joined, blanks collapsed.
+
+    A page is two columns wide if enough of its lines have a wide gap in the middle range;
+    it is cut at the median of these gaps."""
+    low, high = GAP_RANGE
+    pages = pages.withColumn("_raw", F.split(F.col(text), T.LINE_BREAK, -1))
+    middles = F.filter(F.flatten(F.transform("_raw", _gap_middles)), lambda m: (m >= low) & (m <= high))
+    pages = pages.withColumn("_middles", F.array_sort(middles))
+    count = F.size("_middles")
+    half = F.floor((count - 1) / 2).cast("int")
+    median = (F.get("_middles", half) + F.get("_middles", F.floor(count / 2).cast("int"))) / 2
+    pages = pages.withColumn("_cut", F.when(count >= GAP_COUNT, F.bround(median, 0).cast("int")))
+    # blanks that end a half would come between a hyphen and its line end; the join allows them
+    left = F.transform("_raw", lambda x: F.substr(x, F.lit(1), F.col("_cut")))
+    right = F.transform("_raw", lambda x: F.substr(x, F.col("_cut") + 1))
+    joined = F.array_join(F.when(F.col("_cut").isNotNull(), F.concat(left, right)).otherwise(F.col("_raw")), "\n")
+    lines = F.split(F.regexp_replace(joined, BROKEN_WORD, ""), T.LINE_BREAK, -1)
+    squeezed = F.filter(F.transform(lines, T.squeeze), lambda x: x != "")
+    # as a row of its own, so that no filter on the lines works them out again
+    return pages.withColumn(name, F.explode_outer(F.array(squeezed))).drop("_raw", "_middles", "_cut")
 
 
 def is_major_heading(line: Column) -> Column:
@@ -137,7 +155,7 @@ def excerpt(lines: Column, start: Column, count: int = EXCERPT_LINES, keep: int
 def planning_lines(pages: DataFrame) -> DataFrame:
     """Pages of planning texts as cleaned and folded lines. ``pages``: ``doc_id, page, text``."""
     return (
-        pages.select("doc_id", "page", clean_lines(F.col("text")).alias("lines"))
+        with_clean_lines(pages.select("doc_id", "page", "text")).select("doc_id", "page", "lines")
         .filter(F.size("lines") > 0)
         .withColumn("folded", F.transform("lines", T.fold))
     )
@@ -434,7 +452,7 @@ def fixed_width_table(lines: DataFrame, keys: list[str], order: str, key_cuts: l
     empty cell. Cuts are 0-based character positions."""
     def cut(bounds):
         lo, hi = bounds
-        text = F.substring("line", lo + 1, 1_000_000 if hi is None else hi - lo)
+        text = F.substr("line", F.lit(lo + 1)) if hi is None else F.substring("line", lo + 1, hi - lo)
         return T.squeeze(text)
 
     cells = lines.withColumns(

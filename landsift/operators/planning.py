@@ -31,11 +31,11 @@ def pair_geometry(pairs: DataFrame) -> tuple[Column, Column] | None:
     )
 
 
-def shape_join(parcels: DataFrame, features: DataFrame, on=(), margin=0.0) -> DataFrame:
+def shape_join(parcels: DataFrame, features: DataFrame, on=(), margin=0.0, **options) -> DataFrame:
     """Box join that carries the geometries of both sides (``geom`` and ``r_geom``)."""
     if "geom" in features.columns:
         features = features.withColumnRenamed("geom", "r_geom")
-    return box_join(parcels, features, on=on, margin=margin)
+    return box_join(parcels, features, on=on, margin=margin, **options)
 
 
 def with_overlap(pairs: DataFrame) -> DataFrame:

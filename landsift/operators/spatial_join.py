@@ -7,10 +7,10 @@ side uses. A pair is kept only in the cell holding the lower-left corner of the
 overlap, so no distinct is needed. Cells are never much larger than the larger
 box of a pair, so the number of candidates follows the number of results.
 
-A first pass counts the rows per grid level (at most 13 levels a side). Where a side
-is larger than one task should take, a second pass looks for crowded cells; those
-are split: one side gets a salt, the other is repeated once per salt. Every row is
-kept. Both passes read only the boxes and run when the join is built.
+A first pass counts the rows per grid level (at most 13 levels a side); it reads only
+the boxes and runs when the join is built. The smallest cell is a parameter in the unit
+of the coordinates. Crowded cells, however many, are left to the engine's skew join,
+which splits them where they are found.
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOX = ["x0", "y0", "x1", "y1"]
-SMALLEST_CELL = 16.0
+#: Smallest cells: 16 m, and about as much in degrees.
+METRE_CELL, DEGREE_CELL = 16.0, 0.00015
 LEVEL_FACTOR = 4.0
 TOP_LEVEL = 12
-HOT_CELLS = 1000
-ROWS_PER_TASK = 500_000
 
 
-def _with_level(df: DataFrame, margin: Column | None) -> DataFrame:
+def _with_level(df: DataFrame, margin: Column | None, smallest: float) -> DataFrame:
     """Adds the grown box and its grid level; rows without a box drop out.
 
     The grown sides are made non-null, so that no null check of them, with all it is
@@ -41,8 +40,8 @@ def _with_level(df: DataFrame, margin: Column | None) -> DataFrame:
         df = df.withColumn("_margin", F.coalesce(margin, zero))
         low, high = F.col("_margin") * -1, F.col("_margin")
         grown = {f"_{c}": F.coalesce(F.col(c) + (low if c.endswith("0") else high), zero) for c in BOX}
-    extent = F.expr(f"greatest(_x1 - _x0, _y1 - _y0, {SMALLEST_CELL}D)")
-    level = F.ceil(F.log(LEVEL_FACTOR, extent / SMALLEST_CELL)).cast("int")
+    extent = F.expr(f"greatest(_x1 - _x0, _y1 - _y0, double({smallest}))")
+    level = F.ceil(F.log(LEVEL_FACTOR, extent / smallest)).cast("int")
     return df.withColumns(grown).drop("_margin").withColumn("_level", F.least(level, F.lit(TOP_LEVEL)))
 
 
@@ -57,11 +56,11 @@ def _level_counts(left: DataFrame, right: DataFrame) -> tuple[dict[int, int], di
     return counts
 
 
-def _cells(df: DataFrame, other_levels: list[int]) -> DataFrame:
+def _cells(df: DataFrame, other_levels: list[int], smallest: float) -> DataFrame:
     """One row per cell the box touches, on the levels where partners can be."""
     levels = ", ".join(str(v) for v in other_levels)
     lowest = other_levels[0] if other_levels else TOP_LEVEL + 1
-    size = f"({SMALLEST_CELL}D * power({LEVEL_FACTOR}D, l))"
+    size = f"(double({smallest}) * power({LEVEL_FACTOR}D, l))"
     cells = f"""
         flatten(transform(
             filter(array_union(array(_level), array({levels})), l -> l > _level or (l = _level and {lowest} <= l)),
@@ -75,46 +74,12 @@ def _cells(df: DataFrame, other_levels: list[int]) -> DataFrame:
     return df.withColumn("_cell", F.explode_outer(F.expr(cells)))
 
 
-def _cell_key(on: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in on], F.col("_cell"))
-
-
-def _hot_cells(cells: DataFrame, on: Sequence[str], rows_per_task: int) -> dict[int, int]:
-    """Salts per crowded cell. At most HOT_CELLS entries come back; a cell beyond those
-    holds less than 1/HOT_CELLS of the rows and needs no split."""
-    crowded = (
-        cells.groupBy(_cell_key(on).alias("cell"))
-        .count()
-        .filter(F.col("count") > rows_per_task)
-        .orderBy(F.desc("count"), "cell")
-        .limit(HOT_CELLS)
-    )
-    return {cell: -(-n // rows_per_task) for cell, n in crowded.collect()}
-
-
-def _salts(on: Sequence[str], hot: dict[int, int]) -> Column:
-    if not hot:
-        return F.lit(1)
-    entries = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
-    return F.coalesce(F.try_element_at(entries, _cell_key(on)), F.lit(1))
-
-
-def _salted(df: DataFrame, on: Sequence[str], own_n: Column, other_n: Column, own: str, other: str) -> DataFrame:
-    """Own salt from the row's hash, so that a recomputed task gives the same salts;
-    one copy per salt of the other side."""
-    plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    return df.withColumn(own, F.pmod(F.xxhash64(*plain), own_n).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), other_n - 1))
-    )
-
-
 def box_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str] = (),
     margin: float | Column = 0.0,
-    split_hot_cells: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
+    smallest_cell: float = METRE_CELL,
 ) -> DataFrame:
     """Pairs whose boxes touch or overlap after growing the right box by ``margin``.
 
@@ -128,27 +93,17 @@ def box_join(
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     if not isinstance(margin, Column):
         margin = F.lit(float(margin)) if margin else None
-    l_side = _with_level(left, None)
-    r_side = _with_level(right, margin)
+    l_side = _with_level(left, None, smallest_cell)
+    r_side = _with_level(right, margin, smallest_cell)
     l_levels, r_levels = _level_counts(l_side, r_side)
-    l_cells = _cells(l_side, sorted(r_levels))
-    r_cells = _cells(r_side, sorted(l_levels))
+    l_cells = _cells(l_side, sorted(r_levels), smallest_cell)
+    r_cells = _cells(r_side, sorted(l_levels), smallest_cell)
     keys = [*on, "_cell"]
-    # a side smaller than one task's share cannot hold a crowded cell
-    crowded = [sum(v.values()) > rows_per_task for v in (l_levels, r_levels)]
-    if split_hot_cells and any(crowded):
-        l_hot = _hot_cells(l_cells, on, rows_per_task) if crowded[0] else {}
-        r_hot = _hot_cells(r_cells, on, rows_per_task) if crowded[1] else {}
-        if l_hot or r_hot:
-            l_n, r_n = _salts(on, l_hot), _salts(on, r_hot)
-            l_cells = _salted(l_cells, on, l_n, r_n, "_ls", "_rs")
-            r_cells = _salted(r_cells, on, r_n, l_n, "_rs", "_ls")
-            keys += ["_ls", "_rs"]
     r_cells = r_cells.withColumnsRenamed(
         {c: f"r_{c}" for c in BOX}
         | {"_x0": "_rx0", "_y0": "_ry0", "_x1": "_rx1", "_y1": "_ry1", "_level": "_rlevel"}
     )
-    size = SMALLEST_CELL * F.power(F.lit(LEVEL_FACTOR), F.col("_cell.l"))
+    size = smallest_cell * F.power(F.lit(LEVEL_FACTOR), F.col("_cell.l"))
     corner_x = F.greatest("_x0", "_rx0")
     corner_y = F.greatest("_y0", "_ry0")
     pairs = l_cells.join(r_cells, keys).filter(

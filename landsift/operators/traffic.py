@@ -261,35 +261,35 @@ def purge(df: DataFrame, column: str, now: dt.datetime, days: int, inclusive: bo
 def failed_logins(attempts: DataFrame, minutes: int = 15, max_attempts: int = 5) -> DataFrame:
     """For every attempt: failed ones of the same address or user in the window before it.
 
-    Counted as address + user - both, each a window over its own key, so nothing is
-    paired with anything. The window length and the limit keep to their bounds."""
+    Counted as address + user - both, so nothing is paired with anything. A failure adds one
+    at its instant and takes it away just after the window's length, so each count is a
+    running sum, linear in the attempts of a key. Names and addresses are trimmed and folded
+    in case, names cut to 128 characters. The window length and the limit keep to their bounds."""
     minutes, max_attempts = max(5, min(minutes, 60)), max(3, min(max_attempts, 20))
     from pyspark.sql import Window
 
-    seconds = F.unix_micros(F.col("attempted_at").cast("timestamp"))
-    failed = F.when(~F.col("successful"), 1).otherwise(0)
     span = minutes * 60 * 1_000_000
+    failed = F.when(F.coalesce("successful", F.lit(False)), 0).otherwise(1)
+    # an attempt counts in its own slice of time and in the next one, so a window never reaches
+    # beyond its slice and a busy address is spread over many tasks
+    slice_of = F.floor(F.col("_t") / span)
+    marks = [F.struct((slice_of + k).alias("slice"), (F.col("_t") + at).alias("at"), (F.col("_failed") * sign).alias("n"), F.lit(k == 0 and at == 0).alias("asks"))
+             for k in (0, 1) for at, sign in ((0, 1), (span + 1, -1))]
 
-    # every attempt also shows up in the next slice of time, so a window never has to
-    # reach beyond its own slice and a busy address is spread over many tasks
     def trailing(*keys):
-        w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-span, Window.currentRow)
-        return F.sum("_failed").over(w)
+        w = Window.partitionBy(*keys, "_m.slice").orderBy("_m.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.sum("_m.n").over(w)
 
     return (
-        attempts.withColumns({"_t": seconds, "_failed": failed})
-        .withColumn("_own", F.floor(F.col("_t") / span))
-        .withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-        .withColumns(
-            {
-                "_a": trailing("ip_address"),
-                "_u": trailing("username"),
-                "_b": trailing("ip_address", "username"),
-            }
-        )
-        .filter(F.col("_slice") == F.col("_own"))
+        attempts.withColumns({
+            "_t": F.unix_micros(F.col("attempted_at").cast("timestamp")), "_failed": failed,
+            "_ip": F.lower(F.trim("ip_address")), "_name": F.substring(F.lower(F.trim("username")), 1, 128),
+        })
+        .withColumn("_m", F.explode(F.array(*marks)))
+        .withColumns({"_a": trailing("_ip"), "_u": trailing("_name"), "_b": trailing("_ip", "_name")})
+        .filter("_m.asks")
         # attempts at the same instant count only if they came before: own row is left out
         .withColumn("failures", F.col("_a") + F.col("_u") - F.col("_b") - F.col("_failed"))
         .withColumn("blocked", F.col("failures") >= max_attempts)
-        .drop("_t", "_failed", "_a", "_u", "_b", "_own", "_slice")
+        .drop("_t", "_failed", "_ip", "_name", "_m", "_a", "_u", "_b")
     )

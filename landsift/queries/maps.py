@@ -26,7 +26,7 @@ SHEETS = """sheets AS (SELECT s_suppkey % 30 AS doc_id, CAST(s_suppkey % 7 AS IN
     CAST(s_suppkey % 10 * 1000 + 1000 AS DOUBLE) AS x1, CAST(s_suppkey // 10 % 10 * 1000 + 1000 AS DOUBLE) AS y1 FROM supplier),
   named AS (SELECT 1000 + l_partkey % 50 AS ko_id, CASE WHEN l_partkey % 5 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE l_partkey || '/' || (l_partkey % 7 + 1) END AS parcel_number,
       l_suppkey % 30 AS doc_id, CAST(l_orderkey % 7 AS INT) AS page FROM lineitem),
-  by_area AS (SELECT """ + f"""{KEY}, doc_id, page FROM parcels p JOIN sheets z ON p.x0 <= z.x1 + 1e-7 AND z.x0 - 1e-7 <= p.x1 AND p.y0 <= z.y1 + 1e-7 AND z.y0 - 1e-7 <= p.y1),
+  by_area AS (SELECT """ + f"""{KEY}, doc_id, page FROM parcels p JOIN sheets z ON p.x0 * 1e-5 <= z.x1 * 1e-5 + 1e-7 AND z.x0 * 1e-5 - 1e-7 <= p.x1 * 1e-5 AND p.y0 * 1e-5 <= z.y1 * 1e-5 + 1e-7 AND z.y0 * 1e-5 - 1e-7 <= p.y1 * 1e-5),
   sheet_match AS (SELECT *, 'geospatial' AS match_method FROM by_area UNION ALL
     SELECT *, 'parcel_label' FROM (SELECT DISTINCT {KEY}, doc_id, page FROM named WHERE page > 0 EXCEPT SELECT {KEY}, doc_id, page FROM by_area))"""
 
@@ -41,8 +41,13 @@ def named(spark, folder):
     )
 
 
+def in_degrees(df):
+    """The boxes of a table in units of about a degree: a metre is 0.00001."""
+    return df.withColumns({c: F.col(c) * F.lit(1e-5) for c in ("x0", "y0", "x1", "y1")})
+
+
 def matches(spark, folder):
-    return M.map_sheet_matches(X.parcels(spark, folder), sheets(spark, folder), named(spark, folder))
+    return M.map_sheet_matches(in_degrees(X.parcels(spark, folder)), in_degrees(sheets(spark, folder)), named(spark, folder))
 
 
 @query("j17_map_sheet_matches", X.ctes("parcels") + f", {SHEETS} SELECT * FROM sheet_match")

@@ -185,21 +185,19 @@ def s11_request_csv(spark, folder):
 def attempts(spark, folder):
     return (
         table(spark, folder, "events")
-        .filter(F.col("event_type").isin("error", "signup"))
         .select(
             F.col("event_id").alias("attempt_id"),
             F.col("ts").alias("attempted_at"),
             F.concat(F.lit("192.0.2."), (F.col("user_id") % 25).cast("string")).alias("ip_address"),
             F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("username"),
-            (F.col("event_type") == "signup").alias("successful"),
+            (F.col("event_type") != "error").alias("successful"),
         )
     )
 
 
 @query(
     "a14_failed_logins",
-    """WITH a AS (SELECT event_id AS attempt_id, ts, user_id % 25 AS ip, user_id % 7 AS usr, event_type = 'signup' AS ok
-      FROM events WHERE event_type IN ('error', 'signup'))
+    """WITH a AS (SELECT event_id AS attempt_id, ts, user_id % 25 AS ip, user_id % 7 AS usr, event_type <> 'error' AS ok FROM events)
     SELECT a.attempt_id, count(b.attempt_id) AS failures, count(b.attempt_id) >= 5 AS blocked FROM a
     LEFT JOIN a b ON NOT b.ok AND b.attempt_id <> a.attempt_id AND (b.ip = a.ip OR b.usr = a.usr) AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 15 MINUTE
     GROUP BY 1""",

@@ -36,9 +36,13 @@ _SCRATCH: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a scratch one only if none is set (tests)."""
+    """Folder named by ``spark.checkpoint.dir``; a scratch one only in a local session (tests).
+
+    On a cluster every executor would write to a disk of its own, so an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _SCRATCH.setdefault(app, _SCRATCH.get(app) or tempfile.mkdtemp(prefix="landsift-"))
     return folder.rstrip("/")

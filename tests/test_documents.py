@@ -156,15 +156,18 @@ def test_preemption_outcomes(spark):
     assert [(r.status, r.uses) for r in m] == [("applies", "IK – stavbno zemljišče (10 % parcele)")]
 
 
-def test_two_column_pages_and_broken_words():
+def test_two_column_pages_and_broken_words(spark):
+    def page_lines(text):
+        return C.with_clean_lines(spark.createDataFrame([(text,)], "text string")).first().lines
+
     # the middle of the gap lies at character 53, within the range where columns part
     rows = [f"levo{i} {'a' * 40}".ljust(60) + f"desno{i}" for i in range(9)]
-    lines = C._page_lines("\n".join(rows))
+    lines = page_lines("\n".join(rows))
     assert lines[:9] == [f"levo{i} {'a' * 40}" for i in range(9)] and lines[9:] == [f"desno{i}" for i in range(9)]
     # a gap further left does not part a page
     near = [f"levo{i}".ljust(60) + f"desno{i}" for i in range(9)]
-    assert C._page_lines("\n".join(near)) == [f"levo{i} desno{i}" for i in range(9)]
-    assert C._page_lines("stano-\n  vanje\n\n x  y") == ["stanovanje", "x y"]
+    assert page_lines("\n".join(near)) == [f"levo{i} desno{i}" for i in range(9)]
+    assert page_lines("stano-\n  vanje\n\n x  y") == ["stanovanje", "x y"]
 
 
 def test_fixed_width_rows_take_their_continuations(spark):

@@ -43,7 +43,7 @@ def test_box_join_is_brute_force(spark):
     left, right = frames(spark, a, b)
     for margin in (0.0, 35.0):
         want = brute(a, b, margin)
-        for kwargs in ({}, {"rows_per_task": 20}, {"split_hot_cells": False}):
+        for kwargs in ({}, {"smallest_cell": 1.0}, {"smallest_cell": 300.0}):
             got = [(r.i, r.j) for r in box_join(left, right, margin=margin, **kwargs).select("i", "j").collect()]
             assert len(got) == len(set(got))
             assert set(got) == want
@@ -152,3 +152,20 @@ def test_absent_source_is_not_no(spark):
     assert got["water"].status == "nearby" and got["water"].label.endswith("2 m")
     assert got["sewer"].status == "not_recorded"
     assert got["gas"].status == "unavailable" and got["telecom"].status == "unavailable"
+
+
+def test_cells_of_degrees_follow_the_boxes(spark):
+    from landsift.operators import spatial_join as S
+
+    # boxes of 20 m spread over 2 x 1 degrees: few of them may share a cell
+    rows = [(i, 14 + (i * 37 % 1000) * 0.002, 45 + (i * 91 % 1000) * 0.001) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, x double, y double").selectExpr("i", "x AS x0", "y AS y0", "x + 0.0002 AS x1", "y + 0.0002 AS y1")
+    level = S._with_level(df, None, S.DEGREE_CELL)
+    most = S._cells(level, [1], S.DEGREE_CELL).groupBy("_cell").count().agg({"count": "max"}).first()[0]
+    assert most <= 4
+    assert box_join(df, df.withColumnRenamed("i", "j"), smallest_cell=S.DEGREE_CELL).filter("i = j").count() == 1000
+
+
+def test_one_crowded_cell_keeps_all_pairs(spark):
+    box = lambda name, n: spark.range(n).selectExpr(f"id AS {name}", "0D AS x0", "0D AS y0", "1D AS x1", "1D AS y1")
+    assert box_join(box("i", 300), box("j", 200)).count() == 60_000
