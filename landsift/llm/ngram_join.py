@@ -311,7 +311,8 @@ def _around(counted: DataFrame, linking: Linking) -> DataFrame:
     tested_leaders = counted.groupBy("leader").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("open")).filter("k > 1 AND open > 0")
     group = counted.join(tested_leaders.select("leader"), "leader", "left_semi")
     each = group.select("leader", "id", F.explode("d").alias("g"))
-    often = each.groupBy("leader", "g").agg(F.count("*").alias("often")).filter("often > 1")
+    # written, so that the files of this count are gone before the differences are dealt out again
+    often = written(each.groupBy("leader", "g").agg(F.count("*").alias("often")).filter("often > 1"), "ngram-often")
     shared = each.join(often, ["leader", "g"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("d"))
     ranked = group.select("leader", "id", "n", "m", "differ", "linked").join(shared, ["leader", "id"])
     # most by which y may miss: its differences less the overlap it must have with any x
