@@ -4,8 +4,9 @@ Generators of high recall propose spans, which may overlap. Each candidate has a
 features of its format and context. Candidates of all documents are counted by their
 feature values (a table of bounded size, ``VECTORS`` rows at most per label and fold), and
 trees are boosted on these counts against labels of the validators; thresholds per kind come
-from the fold that the trees have not seen. Spans of the base rules always stay; trees add
-others. All work on texts is done by built-in columns, and nothing is shuffled but counts.
+from the fold that the trees have not seen. A kind with too few held-out candidates for a
+threshold is judged by its validator alone, so that small tables have their spans, too. Spans
+of the base rules always stay; trees and validators add others. All work on texts is done by built-in columns, and nothing is shuffled but counts.
 
 Patterns are written so that a run of characters is tried once and groups never recurse:
 very long texts cost time in proportion.
@@ -29,8 +30,8 @@ BASE = {
     "card": "(?:(?<![0-9])|\\G)(?=[0-9](?:[ -]?[0-9]){11})[0-9]++(?:[ -][0-9]++)*+",
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What texts must contain for a rule to be tried.
-HINTS = {"email": "@|[\\[(]at[\\])]", "ip": "[0-9]\\.[0-9]", "card": "[0-9][0-9 -]{11}", "phone": "\\+[0-9]|[0-9][ .-][0-9]{4}"}
+#: What texts must contain for a rule to be tried: all that the rules of a kind match has it.
+HINTS = {"email": "@|[\\[(](?:at|AT)[\\])]", "ip": "[0-9]\\.[0-9]", "card": "[0-9][0-9 -]{11}", "phone": "\\+[0-9]|[0-9][ .-][0-9]{4}"}
 #: Further generators: parts of longer runs, and other ways of writing.
 MORE = {
     "email": "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++ ?[\\[(](?:at|AT)[\\])] ?[A-Za-z0-9-]++(?: ?(?:\\.|[\\[(](?:dot|DOT)[\\])]) ?[A-Za-z0-9-]++)++",
@@ -45,7 +46,8 @@ FEATURES = {"kind": 4, "digits": 6, "luhn": 2, "plus": 2, "paren": 2, "octets":
 VECTORS = math.prod(FEATURES.values())
 #: Rounds of boosting, step, smallest weight of a leaf, and precision that thresholds must reach.
 ROUNDS, RATE, LEAF, PRECISION = 20, 0.3, 5.0, 0.98
-#: Held-out candidates that a threshold needs above it.
+#: Held-out candidates that a threshold needs above it. A kind that cannot have them, as fewer
+#: held-out candidates pass its validator, is judged by the validator.
 SUPPORT = 10
 
 
@@ -166,13 +168,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: t
 class Model:
     """Boosted trees of two levels over the features, and a threshold for each kind.
 
-    A split is (feature, value): equal goes left. A tree is (split, left, right), where a
+    Kinds in ``validated`` have no threshold; their candidates are chosen by their label. A split is (feature, value): equal goes left. A tree is (split, left, right), where a
     side is (split, leaf, leaf) or a leaf.
     """
 
     prior: float = 0.0
     trees: list = field(default_factory=list)
     thresholds: dict[int, float] = field(default_factory=dict)
+    validated: tuple[int, ...] = ()
 
     def score(self, row: dict[str, int]) -> float:
         return self.prior + sum(_leaf(t, row) for t in self.trees)
@@ -185,6 +188,8 @@ class Model:
         out = F.lit(False)
         for kind, least in self.thresholds.items():
             out = out | ((of("kind") == kind) & (self.column(of) >= least))
+        for kind in self.validated:
+            out = out | ((of("kind") == kind) & (of("label") == 1))
         return out
 
 
@@ -225,12 +230,14 @@ def _grow(rows: list[dict], depth: int):
 def fit(counted: list[dict]) -> Model:
     """Boost on counts of feature values, label and fold; thresholds from fold 1.
 
-    A kind whose held-out candidates support no threshold of that precision gets none, so
+    A kind with fewer than ``SUPPORT`` held-out candidates of label 1 cannot have a threshold
+    and is judged by its labels, as are all kinds if there is nothing to boost on. A kind whose
+    held-out candidates are enough, but support no threshold of that precision, gets none, so
     that nothing is added to its base spans.
     """
     learn = [dict(r) for r in counted if r["fold"] == 0]
     if not learn or len({r["label"] for r in learn}) < 2:
-        return Model()
+        return Model(validated=tuple(range(len(KINDS))))
     ones, total = sum(r["n"] for r in learn if r["label"]), sum(r["n"] for r in learn)
     model = Model(prior=math.log(ones / (total - ones)))
     for r in learn:
@@ -250,6 +257,8 @@ def fit(counted: list[dict]) -> Model:
             seen, good = seen + n, good + n * label
             if (k + 1 == len(held) or held[k + 1][0] < score) and seen >= SUPPORT and good >= PRECISION * seen:
                 model.thresholds[kind] = score - 1e-9
+        if sum(n * label for _, label, n in held) < SUPPORT and kind not in model.thresholds:
+            model.validated += (kind,)
     return model
 
 

@@ -312,6 +312,28 @@ def test_trees_add_what_base_rules_miss_and_redaction(spark):
     assert out[61].text == "card [card] here" and out[60].text == texts[60]
 
 
+def test_hints_pass_what_rules_match():
+    written = {
+        "email": ["joe@acme.com", "joe [at] acme [dot] com", "joe [AT] acme [DOT] com", "joe(AT)acme.com", "joe (at) acme (DOT) com"],
+        "ip": ["10.0.0.1", "1.2.3.4"],
+        "card": ["4111111111111111", "4111 1111-1111 1111", "3782 822463 10005", "123456789012"],
+        "phone": ["+1 (843) 555-7672", "(843) 555 7672", "843.555.7672", "+4930123456"],
+    }
+    for kind, texts in written.items():
+        for t in texts:
+            assert re.search(pii.MORE[kind].replace("|\\G", ""), t) or re.search(pii.BASE[kind].replace("|\\G", ""), t), t
+            assert re.search(pii.HINTS[kind], t), t
+
+
+def test_few_candidates_are_judged_by_validators(spark):
+    one = ["write joe [AT] acme [DOT] com now", "no digits: 843-555-7672", "card 4111111111111112 here"]
+    for more in ([], [f"write j{i} (at) acme (dot) com" for i in range(60)] + [f"card 411111111111111{2 - i % 2} here" for i in range(60)]):
+        docs = docs_of(spark, one + more)
+        got = {g.doc_id: g.spans for g in pii.find(docs).collect()}
+        assert (got[0], got[1], got[2]) == ("email:6:29", "", "")
+        assert {g.doc_id: g.text for g in pii.redact(docs).collect()}[0] == "write [email] now"
+
+
 # top-k
 
 def test_top_k(spark):
