@@ -95,6 +95,28 @@ def test_mix_repeats_rows(spark):
     assert dict(got) == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+@pytest.mark.parametrize("hot", [None, 7, 12])
+def test_mix_parts_rows_of_one_key(spark, hot, same_text):
+    rows = [(1000 + i, f"a b c d {i}", "big", i) for i in range(200)] + [(5000 + i, f"x y z {i}", "small", i) for i in range(700)]
+    rows += [(hot, "a b c d e" if same_text else f"a b c d {i % 190}", "big" if i % 2 else "small", i) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for g in got:
+        by[(g.source_size, g.target)].append(g.taken)
+    for (_, target), taken in by.items():
+        assert abs(sum(taken) - target) <= 5
+    want = defaultdict(int)
+    for g in got:
+        want[g.doc_id] += g.taken
+    have = defaultdict(int)
+    for g in mixing.apply(docs).collect():
+        have[g.doc_id] += len(g.text.split())
+    assert dict(have) == {k: v for k, v in want.items() if v}
+
+
 # n-gram join
 
 def sets_of(t, n):
