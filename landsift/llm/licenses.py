@@ -5,7 +5,8 @@ the same for templates and blocks. A block meets a template if it holds at least
 ``THRESHOLD`` of the template's distinct tokens, so it must hold one of the template's first
 tokens in that order (prefix filter), enough tokens of the template's vocabulary (length
 filter), and behind the shared token both must have enough left (positional filter). What
-passes is verified exactly. Blocks are windows of ``BLOCK`` words, each beginning half a
+passes is verified exactly, and must say what tells the license from others (``must``), which
+a part of the tokens alone does not: licenses differ by one word or number. Blocks are windows of ``BLOCK`` words, each beginning half a
 block after the last, over whole texts. The templates, their tokens and their prefixes are a parameter of bounded size
 (``MOST_TOKENS``), which is checked; documents are never shuffled.
 """
@@ -39,24 +40,35 @@ PHRASES = {
 }
 
 
+#: Other words that may stand between two words of what a block must say.
+GAP = 2
+
+
 @dataclass(frozen=True)
 class Template:
+    """A label, its text, and what a block must say to have the label.
+
+    Each of ``must`` has to be found, as any of its ways of writing between bars: words in
+    this order, with ``GAP`` others at most between two. Without it the tokens alone decide.
+    """
+
     label: str
     text: str
+    must: tuple[str, ...] = ()
 
 
 #: Sentences by which texts state their license.
 TEMPLATES = (
-    Template("mit", "Released under the MIT License."),
+    Template("mit", "Released under the MIT License.", ("mit license",)),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    Template("apache-2", "Licensed under the Apache License, Version 2.0."),
-    Template("apache-2", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses LICENSE 2.0"),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
-    Template("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
+    Template("apache-2", "Licensed under the Apache License, Version 2.0.", ("apache license 2|apache license v2",)),
+    Template("apache-2", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses LICENSE 2.0", ("apache",)),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", ("by nc",)),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", ("noncommercial|non commercial",)),
+    Template("gpl-3", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "license 3|license v3")),
     Template("gpl-3", "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     Template("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "license 2|license v2")),
 )
 
 
@@ -71,6 +83,18 @@ def template_sets(templates: tuple[Template, ...]) -> list[tuple[str, frozenset[
     return [(label, s) for label, s in sets if s]
 
 
+def says(block: list[str], must: tuple[str, ...]) -> bool:
+    """Whether a block's words hold each of ``must``, in any of its ways of writing."""
+    return all(any(_in_order(block, words(way)) for way in ways.split("|")) for ways in must)
+
+
+def _in_order(block: list[str], parts: list[str]) -> bool:
+    ends = [at for at, w in enumerate(block) if w == parts[0]]
+    for part in parts[1:]:
+        ends = sorted({k for at in ends for k in range(at + 1, min(at + 2 + GAP, len(block))) if block[k] == part})
+    return bool(ends)
+
+
 def frequencies(docs: DataFrame, templates: tuple[Template, ...], text: str = "text") -> dict[str, int]:
     """In how many documents each template token stands, over all of them.
 
@@ -96,6 +120,7 @@ class Index:
 
     def __init__(self, templates: tuple[Template, ...], often: dict[str, int], threshold: Fraction = THRESHOLD):
         self.sets = template_sets(templates)
+        self.must = [t.must for t in templates if words(t.text)]
         tokens = frozenset().union(*(s for _, s in self.sets))
         order = sorted(tokens, key=lambda t: (often.get(t, 0), t))
         self.rank = {t: k for k, t in enumerate(order)}
@@ -140,9 +165,9 @@ def scan(
 
     n_base, first_word and last_word tell of the places where a phrase's words stand one
     after the other; base_labels of their labels, labels also of the templates that a block
-    meets, each distinct, sorted and comma-joined (empty if none). score is 1 for a phrase,
-    else the largest part of a template's tokens that a block holds where that reaches the
-    threshold, else 0. A null text counts as empty; null, repeated and tied keys stay as
+    meets and whose ``must`` it says, each distinct, sorted and comma-joined (empty if none). score is 1 for a phrase,
+    else the largest part of such a template's tokens that a block holds where that reaches
+    the threshold, else 0. A null text counts as empty; null, repeated and tied keys stay as
     they are; an empty table gives no rows; other columns are not looked at.
     """
     index = Index(templates, frequencies(docs, templates, text), threshold)
@@ -177,8 +202,10 @@ def scan(
                     blocks.setdefault(at // half, set()).add(r)
                     if at >= half:
                         blocks.setdefault(at // half - 1, set()).add(r)
-            for block in blocks.values():
+            for b, block in blocks.items():
                 for k, shared in index.matches(sorted(block)):
+                    if not says(found[b * half : b * half + BLOCK], index.must[k]):
+                        continue
                     label, size = names[k]
                     labels.add(label)
                     best = max(best, shared / size)

@@ -185,6 +185,23 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_that_differ_by_a_word(spark):
+    pad = " ".join(f"w{i}" for i in range(40))
+    other = ["Released under the BSD License.", f"released {pad} under the license", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.",
+             "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+             "Licensed under the Apache License, Version 1.0.", "This work is licensed under the GNU General Public License, version 2.",
+             "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.0.",
+             "Das ist mit dem Werk. Released under the Apache License"]
+    own = [("Released under MIT license", "mit"), ("Released under the MIT (Expat) License", "mit"), ("Licensed under the Apache License 2.0", "apache-2"),
+           ("Licensed under CC BY (NC) 4.0", "cc-by-nc"), ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License", "cc-by-nc"),
+           ("This work is licensed under the GNU General Public License v3", "gpl-3"),
+           ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2")]
+    got = {g.doc_id: g for g in licenses.scan(docs_of(spark, other + [t for t, _ in own])).collect()}
+    assert [(got[i].labels, got[i].score) for i in range(len(other))] == [("", 0.0)] * len(other)
+    assert [got[len(other) + i].labels for i in range(len(own))] == [label for _, label in own]
+
+
 def test_license_filters_lose_nothing():
     r = random.Random(2)
     templates = tuple(licenses.Template(str(k), " ".join(r.choice("abcdefghijkl") for _ in range(r.randrange(1, 9)))) for k in range(20))
