@@ -1,30 +1,35 @@
-"""License scans: an exact set-similarity join of text blocks with templates.
+"""License scans: an exact set-similarity join of word windows with templates.
 
 Tokens that templates use are counted in all documents; the order of rare tokens first is
-the same for templates and blocks. A block meets a template if it holds at least
-``THRESHOLD`` of the template's distinct tokens, so it must hold one of the template's first
-tokens in that order (prefix filter), enough tokens of the template's vocabulary (length
-filter), and behind the shared token both must have enough left (positional filter). What
-passes is verified exactly, and must say what tells the license from others (``must``), which
-a part of the tokens alone does not: licenses differ by one word or number. Blocks are windows of ``BLOCK`` words, each beginning half a
-block after the last, over whole texts. The templates, their tokens and their prefixes are a parameter of bounded size
-(``MOST_TOKENS``), which is checked; documents are never shuffled.
+the same for templates and texts. A window meets a template if it holds at least
+``THRESHOLD`` of the template's distinct tokens, so its text must hold one of the template's
+first tokens in that order (prefix filter), enough tokens of the template's vocabulary
+(length filter), and behind the shared token both must have enough left (positional filter).
+For what passes, a window slides over the whole text and begins at each token of the template,
+with running counts: no place in the text is better than another, and the work grows with the
+text. It has ``BLOCK`` words, or twice those of the template if these are more, so that every
+template can be met. It must also say what tells the license from others (``must``), which a
+part of the tokens alone does not: licenses differ by one word or number. The templates, their
+tokens and their prefixes are a parameter of bounded size (``MOST_TOKENS``), which is checked;
+documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Part of a template's distinct tokens that a block must hold.
+#: Part of a template's distinct tokens that a window must hold.
 THRESHOLD = Fraction(8, 10)
-#: Words of a block; a passage of up to half of it plus one lies in one block whole.
+#: Least words of a window.
 BLOCK = 64
 #: Tokens of all templates together, which are sent to every task.
 MOST_TOKENS = 100_000
@@ -40,13 +45,13 @@ PHRASES = {
 }
 
 
-#: Other words that may stand between two words of what a block must say.
+#: Other words that may stand between two words of what a window must say.
 GAP = 2
 
 
 @dataclass(frozen=True)
 class Template:
-    """A label, its text, and what a block must say to have the label.
+    """A label, its text, and what a window must say to have the label.
 
     Each of ``must`` has to be found, as any of its ways of writing between bars: words in
     this order, with ``GAP`` others at most between two. Without it the tokens alone decide.
@@ -83,16 +88,42 @@ def template_sets(templates: tuple[Template, ...]) -> list[tuple[str, frozenset[
     return [(label, s) for label, s in sets if s]
 
 
-def says(block: list[str], must: tuple[str, ...]) -> bool:
-    """Whether a block's words hold each of ``must``, in any of its ways of writing."""
-    return all(any(_in_order(block, words(way)) for way in ways.split("|")) for ways in must)
+def places(found: list[str], ways: str) -> tuple[list[int], list[int]]:
+    """Where words in order begin, in any of their ways of writing, and the first end from there on."""
+    out = []
+    for parts in map(words, ways.split("|")):
+        for start in (at for at, w in enumerate(found) if w == parts[0]):
+            ends = {start}
+            for part in parts[1:]:
+                ends = {k for at in ends for k in range(at + 1, min(at + 2 + GAP, len(found))) if found[k] == part}
+            if ends:
+                out.append((start, min(ends)))
+    out.sort()
+    least = list(accumulate((end for _, end in reversed(out)), min))[::-1]
+    return [start for start, _ in out], least
 
 
-def _in_order(block: list[str], parts: list[str]) -> bool:
-    ends = [at for at, w in enumerate(block) if w == parts[0]]
-    for part in parts[1:]:
-        ends = sorted({k for at in ends for k in range(at + 1, min(at + 2 + GAP, len(block))) if block[k] == part})
-    return bool(ends)
+def best_window(found: list[str], held: list[tuple[int, int]], tokens: frozenset[int], need: int, window: int, must: tuple[str, ...]) -> int:
+    """Most tokens of a template in one window that holds ``need`` and says all of ``must``, or 0.
+
+    ``held``: place and rank of template tokens, in order of places.
+    """
+    mine = [(at, r) for at, r in held if r in tokens]
+    said = [places(found, ways) for ways in must]
+    inside: Counter[int] = Counter()
+    best, end = 0, 0
+    for at, r in mine:
+        while end < len(mine) and mine[end][0] < at + window:
+            inside[mine[end][1]] += 1
+            end += 1
+        if len(inside) >= need and len(inside) > best:
+            firsts = [(ends, bisect_left(starts, at)) for starts, ends in said]
+            if all(k < len(ends) and ends[k] < at + window for ends, k in firsts):
+                best = len(inside)
+        inside[r] -= 1
+        if not inside[r]:
+            del inside[r]
+    return best
 
 
 def frequencies(docs: DataFrame, templates: tuple[Template, ...], text: str = "text") -> dict[str, int]:
@@ -121,6 +152,7 @@ class Index:
     def __init__(self, templates: tuple[Template, ...], often: dict[str, int], threshold: Fraction = THRESHOLD):
         self.sets = template_sets(templates)
         self.must = [t.must for t in templates if words(t.text)]
+        self.window = [max(BLOCK, 2 * len(words(t.text))) for t in templates if words(t.text)]
         tokens = frozenset().union(*(s for _, s in self.sets))
         order = sorted(tokens, key=lambda t: (often.get(t, 0), t))
         self.rank = {t: k for k, t in enumerate(order)}
@@ -164,9 +196,9 @@ def scan(
     """Words, phrase places and license labels of every document, from its whole text.
 
     n_base, first_word and last_word tell of the places where a phrase's words stand one
-    after the other; base_labels of their labels, labels also of the templates that a block
+    after the other; base_labels of their labels, labels also of the templates that a window
     meets and whose ``must`` it says, each distinct, sorted and comma-joined (empty if none). score is 1 for a phrase,
-    else the largest part of such a template's tokens that a block holds where that reaches
+    else the largest part of such a template's tokens that a window holds where that reaches
     the threshold, else 0. A null text counts as empty; null, repeated and tied keys stay as
     they are; an empty table gives no rows; other columns are not looked at.
     """
@@ -195,17 +227,10 @@ def scan(
                         base.add(label)
         labels, best = set(base), 1.0 if base else 0.0
         if any(rank[w] in index.prefix for w in present):
-            half, blocks = BLOCK // 2, {}
-            for at, w in enumerate(found):
-                r = rank.get(w)
-                if r is not None:
-                    blocks.setdefault(at // half, set()).add(r)
-                    if at >= half:
-                        blocks.setdefault(at // half - 1, set()).add(r)
-            for b, block in blocks.items():
-                for k, shared in index.matches(sorted(block)):
-                    if not says(found[b * half : b * half + BLOCK], index.must[k]):
-                        continue
+            held = [(at, r) for at, w in enumerate(found) if (r := rank.get(w)) is not None]
+            for k, _ in index.matches(sorted(rank[w] for w in present)):
+                shared = best_window(found, held, index.sorted[k], index.needed[k], index.window[k], index.must[k])
+                if shared:
                     label, size = names[k]
                     labels.add(label)
                     best = max(best, shared / size)

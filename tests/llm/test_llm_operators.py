@@ -202,6 +202,34 @@ def test_licenses_that_differ_by_a_word(spark):
     assert [got[len(other) + i].labels for i in range(len(own))] == [label for _, label in own]
 
 
+def test_licenses_anywhere_and_of_any_length(spark):
+    notice = licenses.words(licenses.TEMPLATES[8].text)
+    spread = " ".join(w for x in notice for w in (x, "rem"))
+    texts = [" ".join(f"w{i}" for i in range(k)) + " " + spread for k in range(0, 64, 3)]
+    long = " ".join(f"t{i}" for i in range(400))
+    texts += [f"{long} tail", " ".join(f"t{i} z" for i in range(30, 370)), " ".join(f"t{i}" for i in range(300))]
+    templates = (*licenses.TEMPLATES, licenses.Template("long", long))
+    got = {g.doc_id: g for g in licenses.scan(docs_of(spark, texts), templates).collect()}
+    n = len(texts) - 3
+    assert all((got[i].labels, got[i].score) == ("bsd-3", 1.0) for i in range(n))
+    assert [(got[n + i].labels, got[n + i].score) for i in range(3)] == [("long", 1.0), ("long", 0.85), ("", 0.0)]
+
+
+def test_license_windows_by_brute_force():
+    r = random.Random(4)
+    tokens = frozenset(range(6))
+    for _ in range(300):
+        ranks = [r.randrange(9) for _ in range(r.randrange(1, 60))]
+        found, held = [f"x{k}" for k in ranks], [(at, k) for at, k in enumerate(ranks) if k < 7]
+        must = r.choice([(), ("x0 x1",), ("x2|x7 x3", "x1")])
+        want = 0
+        for at in (a for a, k in held if k in tokens):
+            part, n = found[at : at + 10], len(tokens & set(ranks[at : at + 10]))
+            if n >= 4 and all(licenses.places(part, ways)[0] for ways in must):
+                want = max(want, n)
+        assert licenses.best_window(found, held, tokens, 4, 10, must) == want
+
+
 def test_license_filters_lose_nothing():
     r = random.Random(2)
     templates = tuple(licenses.Template(str(k), " ".join(r.choice("abcdefghijkl") for _ in range(r.randrange(1, 9)))) for k in range(20))
