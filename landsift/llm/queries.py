@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import licenses, merkle, mixing, ngram_join, packing, pii, quality, token_files, topk, toxicity, warc
+from landsift.llm import dialogue, licenses, merkle, mixing, ngram_join, packing, pii, quality, token_files, topk, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -301,3 +303,61 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Roots, proofs and their verification for all documents."""
     return merkle.manifest(table(spark, folder, "documents"))
+
+
+#: Backward over the rows: cost, edits and lines from each state (a start, b after s, u, w after a);
+#: the least struct is the cheapest and then the ASCII-least.
+DIALOGUE_SQL = r"""
+WITH RECURSIVE CRC_TABLE, c AS (
+  SELECT conv_id, coalesce('1' || conv_id, '0') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    CRC % 20 AS what FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations), crc_table
+), dam AS (
+  SELECT g, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN what = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE what <> 0
+), num AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY g ORDER BY turn DESC NULLS LAST, role DESC, text DESC, copy DESC) AS k FROM dam
+), r AS (
+  SELECT *, left(role, 1) AS ini, left(lag(role) OVER (PARTITION BY g ORDER BY i), 1) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM num
+), dp(g, k, a, b, u, w) AS (
+  SELECT DISTINCT g, 0::BIGINT, {'c': 0::BIGINT, 'e': '', 't': ''}, {'c': 10::BIGINT, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'},
+    {'c': 5::BIGINT, 'e': 'I', 't': chr(10) || 'assistant:'}, {'c': 0::BIGINT, 'e': '', 't': ''} FROM r
+  UNION ALL
+  SELECT g, k, INSERT(a0, 'user', u1, a), INSERT(b0, 'user', u1, b), u1, w1 FROM (
+    SELECT *, INSERT(u0, 'assistant', w0, u) AS u1, INSERT(w0, 'user', u0, w) AS w1 FROM (
+      SELECT g, r.k, ROW_OF(a, 'user', u, b) AS a0, ROW_OF(b, 'user', u, NULL) AS b0, ROW_OF(u, 'assistant', w, NULL) AS u0, ROW_OF(w, 'user', u, NULL) AS w0
+      FROM dp JOIN r USING (g) WHERE r.k = dp.k + 1))
+), best AS (SELECT g, last(a ORDER BY k) AS x FROM dp GROUP BY g
+), told AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost,
+  coalesce(x.e, '') AS audit, sha256(coalesce(substr(x.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM c) LEFT JOIN told USING (g) LEFT JOIN best USING (g)
+"""
+
+
+def _dialogue_sql(text: str) -> str:
+    def insert(now, role, to, _):
+        return f"list_min([{now}, {{'c': {to}.c + 5, 'e': 'I' || {to}.e, 't': chr(10) || '{role}:' || {to}.t}}])"
+
+    def row_of(same, role, to, system):
+        kept = f"CASE WHEN ini = '{role[0]}' THEN {{'c': {to}.c + m, 'e': 'K' || {to}.e, 't': l || {to}.t}} ELSE {{'c': {to}.c + m + 1, 'e': 'R' || {to}.e, 't': chr(10) || '{role}:' || text || {to}.t}} END"
+        first = f", CASE WHEN ini = 's' AND fault IN ('', 't') THEN {{'c': {system}.c + m, 'e': 'K' || {system}.e, 't': l || {system}.t}} END" if system != "NULL" else ""
+        every = f"[{{'c': {same}.c + 2, 'e': 'D' || {same}.e, 't': {same}.t}}, CASE WHEN fault IN ('', 't') THEN {kept} END{first}]"
+        return f"list_min(list_filter({every}, lambda z: z IS NOT NULL))".replace("+ m", "+ CASE fault WHEN 't' THEN 5 ELSE 0 END").replace(" l ||", " chr(10) || role || ':' || text ||")
+
+    for name, fn in (("INSERT", insert), ("ROW_OF", row_of)):
+        text = re.sub(rf"{name}\(([^()]*)\)", lambda m, fn=fn: fn(*[x.strip(" '") for x in m[1].split(",")]), text)
+    return text.replace("CRC_TABLE", CRC_TABLE).replace("CRC %", CRC.format("key") + " %")
+
+
+@query("op12_repair_conversations", _dialogue_sql(DIALOGUE_SQL))
+def repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text's hash of all conversations."""
+    return dialogue.repair(table(spark, folder, "conversations"))
