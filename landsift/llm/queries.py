@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsift.llm import dialogue, licenses, merkle, mixing, ngram_join, packing, pii, quality, token_files, topk, toxicity, warc
+from landsift.llm import dialogue, html_text, licenses, merkle, mixing, ngram_join, packing, pii, quality, token_files, topk, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -361,3 +361,9 @@ def _dialogue_sql(text: str) -> str:
 def repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Faults, cheapest edits and repaired text's hash of all conversations."""
     return dialogue.repair(table(spark, folder, "conversations"))
+
+
+@query("op11_extract_html")
+def extract_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, folder, "pages"))
