@@ -199,13 +199,12 @@ PARCEL_KEYS = """
 
 
 def direct_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Objects recorded on a parcel, from first order lines."""
+    """Objects recorded on a parcel, one per order line."""
     k = F.col("l_partkey")
     return (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_linenumber") == 1)
         .select(
-            F.col("l_orderkey").alias("ord"),
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_suppkey")).alias("ord"),
             (1000 + k % 50).alias("ko_id"),
             F.when(k % 5 == 0, k.cast("string"))
             .otherwise(F.concat(k.cast("string"), F.lit("/"), (k % 7 + 1).cast("string")))
@@ -222,7 +221,7 @@ def direct_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DIRECT = f"""
-    SELECT l_orderkey AS ord, 1000 + l_partkey % 50 AS ko_id,
+    SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS ord, 1000 + l_partkey % 50 AS ko_id,
       CASE WHEN l_partkey % 5 = 0 THEN CAST(l_partkey AS VARCHAR)
            ELSE l_partkey || '/' || (l_partkey % 7 + 1) END AS parcel_number,
       CASE WHEN l_suppkey % 17 <> 0 THEN CAST(l_suppkey AS VARCHAR) END AS object_eid,
@@ -232,7 +231,7 @@ DIRECT = f"""
       {sql_pick(POSITIONS, "l_orderkey % 3")} AS attribute1,
       {sql_pick(VOLTAGES, "l_suppkey % 4")} AS attribute2,
       CAST(l_orderkey % 3 AS INT) AS relation
-    FROM lineitem WHERE l_linenumber = 1"""
+    FROM lineitem"""
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -45,15 +45,14 @@ def zones_in(spark, folder):
 
 
 def recorded(spark, folder):
-    """Recorded land use from second order lines."""
+    """Recorded land use, one share per order line."""
     k = F.col("l_partkey")
     names = [None, "gozdna zemljišča", "stanovanjska zemljišča", "kmetijska zemljišča"]
     return (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_linenumber") == 2)
         .select(
             F.concat(F.lit("E"), k.cast("string")).alias("eid"),
-            F.struct("l_orderkey", "l_suppkey").alias("ord"),
+            F.struct("l_orderkey", "l_suppkey", "l_linenumber").alias("ord"),
             F.coalesce(X.pick(names, "l_suppkey % 4"), F.lit("Unknown")).alias("name"),
             F.col("l_quantity").alias("share_percent"),
         )
@@ -63,7 +62,7 @@ def recorded(spark, folder):
 RECORDED = f"""recorded AS (
     SELECT 'E' || l_partkey AS eid, l_orderkey, l_suppkey,
       coalesce({X.sql_pick([None, "gozdna zemljišča", "stanovanjska zemljišča", "kmetijska zemljišča"], "l_suppkey % 4")}, 'Unknown') AS name,
-      l_quantity AS share_percent FROM lineitem WHERE l_linenumber = 2)"""
+      l_quantity AS share_percent, l_linenumber FROM lineitem)"""
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,10 +23,12 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, schema: ST.Struc
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything available now into a table of the shared folder; resumes after a failure."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Everything available now into a table of the shared folder; resumes after a failure.
+
+    With the path of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    path = new_folder(spark, name)
+    path = path or new_folder(spark, name)
     q = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -38,6 +41,26 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+#: Time of the row that ends a stream: later than any window of its data.
+END = dt.datetime(9999, 1, 1)
+
+
+def run_to_end(stream: DataFrame, last: dict, plan: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``plan`` over a stream that ends, with its last windows.
+
+    Once everything available is answered, a row of ``last`` (null elsewhere) follows in a
+    second run of the same query, from the same checkpoint. It must carry ``END`` as its
+    time: the watermark passes all windows but the one of that row, which never comes out."""
+    spark = stream.sparkSession
+    path, ending = new_folder(spark, name), new_folder(spark, f"{name}-end")
+    schema = ST.StructType([ST.StructField(f.name, f.dataType) for f in stream.schema])
+    spark.createDataFrame([], schema).write.parquet(ending)
+    whole = plan(stream.unionByName(spark.readStream.schema(schema).parquet(ending)))
+    run_to_table(whole, name, path=path)
+    spark.createDataFrame([tuple(last.get(f.name) for f in schema)], schema).coalesce(1).write.mode("append").parquet(ending)
+    return run_to_table(whole, name, path=path)
+
+
 def ingest_requests(stream: DataFrame, secret: str, consent_version: str, delay: str = "1 hour", ipv6: bool = True) -> DataFrame:
     """Request ingest: one row per job id, derived columns, consent applied.
 
