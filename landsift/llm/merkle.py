@@ -23,7 +23,7 @@ from landsift.llm.order import numbered
 
 FAN = 8
 #: Neighbours in one window: a multiple of the run.
-BLOCK = 512 * FAN
+BLOCK = 8 * FAN
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
