@@ -15,6 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from landsift.functions.sweep import covers as _covers
+from landsift.functions.sweep import crossing as _crossing
+from landsift.functions.sweep import distance as _distance
+from landsift.functions.sweep import even_odd
+from landsift.functions.sweep import inside as _inside
+from landsift.functions.sweep import length_within as _length_within
+from landsift.functions.sweep import overlap as _overlap
+
 PARTS = ST.ArrayType(ST.ArrayType(ST.DoubleType()))
 GEOMETRY = ST.StructType(
     [ST.StructField("kind", ST.StringType()), ST.StructField("xs", PARTS), ST.StructField("ys", PARTS)]
@@ -190,147 +198,6 @@ def _edges(xs, ys) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, 4))
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Overlap of two signed polygons: every edge bounds a trapezoid down to a common
-    base line, and two trapezoids share the area under the lower of their two edges."""
-    origin = a[:, :2].mean(axis=0)
-    shift = np.concatenate([origin, origin])
-    a, b = a - shift, b - shift
-    base = min(a[:, [1, 3]].min(), b[:, [1, 3]].min())
-
-    def trapezoids(e):
-        e = e[e[:, 0] != e[:, 2]]
-        sign = np.where(e[:, 0] > e[:, 2], 1.0, -1.0)
-        swap = e[:, 0] > e[:, 2]
-        e = np.where(swap[:, None], e[:, [2, 3, 0, 1]], e)
-        slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
-        return e[:, 0], e[:, 2], e[:, 1] - base, slope, sign
-
-    al, ar, ay, ak, asg = (v[:, None] for v in trapezoids(a))
-    bl, br, by, bk, bsg = (v[None, :] for v in trapezoids(b))
-    lo, hi = np.maximum(al, bl), np.minimum(ar, br)
-    width = np.maximum(hi - lo, 0.0)
-    a_lo, b_lo = ay + ak * (lo - al), by + bk * (lo - bl)
-    a_hi, b_hi = ay + ak * (hi - al), by + bk * (hi - bl)
-    d_lo, d_hi = a_lo - b_lo, a_hi - b_hi
-    # area under min(a, b) = area under a minus the part where a is above b
-    a_area = (a_lo + a_hi) / 2 * width
-    crossing = (d_lo > 0) != (d_hi > 0)
-    span = np.abs(d_lo) + np.abs(d_hi)
-    share = np.where(crossing & (span > 0), np.maximum(d_lo, d_hi) / np.where(span > 0, span, 1.0), 1.0)
-    above = np.where(
-        crossing,
-        np.maximum(d_lo, d_hi) * share / 2 * width,
-        np.maximum((d_lo + d_hi) / 2, 0.0) * width,
-    )
-    return float((asg * bsg * (a_area - above)).sum())
-
-
-def _point_edge_distance(px, py, e: np.ndarray) -> np.ndarray:
-    """Distances of m points to n edges."""
-    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-    square = dx * dx + dy * dy
-    t = ((px[:, None] - e[:, 0]) * dx + (py[:, None] - e[:, 1]) * dy) / np.where(square > 0, square, 1.0)
-    t = np.clip(np.where(square > 0, t, 0.0), 0.0, 1.0)
-    return np.hypot(px[:, None] - (e[:, 0] + t * dx), py[:, None] - (e[:, 1] + t * dy))
-
-
-def _inside(px, py, e: np.ndarray) -> np.ndarray:
-    """Even-odd test of m points against the edges of a polygon."""
-    up = (e[:, 1] > py[:, None]) != (e[:, 3] > py[:, None])
-    dy = np.where(e[:, 3] != e[:, 1], e[:, 3] - e[:, 1], 1.0)
-    cross = e[:, 0] + (py[:, None] - e[:, 1]) * (e[:, 2] - e[:, 0]) / dy
-    return ((up & (px[:, None] < cross)).sum(axis=1) % 2) == 1
-
-
-def _crossing(a: np.ndarray, b: np.ndarray) -> bool:
-    """Do two edges cross properly?"""
-    a, b = a[:, None, :], b[None, :, :]
-
-    def side(p, x, y):
-        return (p[..., 2] - p[..., 0]) * (y - p[..., 1]) - (p[..., 3] - p[..., 1]) * (x - p[..., 0])
-
-    s1, s2 = side(a, b[..., 0], b[..., 1]), side(a, b[..., 2], b[..., 3])
-    s3, s4 = side(b, a[..., 0], a[..., 1]), side(b, a[..., 2], a[..., 3])
-    return bool(((s1 * s2 < 0) & (s3 * s4 < 0)).any())
-
-
-def _distance(kind_a, a: np.ndarray, kind_b, b: np.ndarray) -> float:
-    if _crossing(a, b):
-        return 0.0
-    if kind_a == "polygon" and _inside(b[:, 0], b[:, 1], a).any():
-        return 0.0
-    if kind_b == "polygon" and _inside(a[:, 0], a[:, 1], b).any():
-        return 0.0
-    ends = lambda e: (np.concatenate([e[:, 0], e[:, 2]]), np.concatenate([e[:, 1], e[:, 3]]))
-    return float(min(_point_edge_distance(*ends(a), b).min(), _point_edge_distance(*ends(b), a).min()))
-
-
-def _covers(a: np.ndarray, b: np.ndarray, tolerance: float) -> bool:
-    """Polygon a, grown by the tolerance, holds polygon b."""
-    d = b[:, 2:] - b[:, :2]
-    cuts = [np.zeros(len(b)), np.ones(len(b))]
-    for e in a:
-        den = d[:, 0] * (e[3] - e[1]) - d[:, 1] * (e[2] - e[0])
-        safe = np.where(den != 0, den, 1.0)
-        t = ((e[0] - b[:, 0]) * (e[3] - e[1]) - (e[1] - b[:, 1]) * (e[2] - e[0])) / safe
-        cuts.append(np.clip(np.where(den != 0, t, 0.0), 0.0, 1.0))
-    t = np.sort(np.column_stack(cuts), axis=1)
-    t = np.concatenate([t, (t[:, 1:] + t[:, :-1]) / 2], axis=1)
-    px = (b[:, :1] + t * d[:, :1]).ravel()
-    py = (b[:, 1:2] + t * d[:, 1:]).ravel()
-    near = _point_edge_distance(px, py, a).min(axis=1) <= tolerance
-    if not (near | _inside(px, py, a)).all():
-        return False
-    # a hole of a inside b leaves no edge of b outside, but it leaves area
-    size = abs(float(((b[:, 0] - b[0, 0]) * (b[:, 3] - b[0, 1]) - (b[:, 2] - b[0, 0]) * (b[:, 1] - b[0, 1])).sum()) / 2)
-    edge_length = float(np.hypot(d[:, 0], d[:, 1]).sum() + np.hypot(a[:, 2] - a[:, 0], a[:, 3] - a[:, 1]).sum())
-    return size - _overlap(a, b) <= tolerance * edge_length + 1e-9
-
-
-def _length_within(line: np.ndarray, outline: np.ndarray, band: float) -> float:
-    """Length of the line within ``band`` of the outline: every outline edge grown by
-    the band is convex, so it holds one interval of each line edge."""
-    total = 0.0
-    for x1, y1, x2, y2 in line:
-        size = float(np.hypot(x2 - x1, y2 - y1))
-        if size == 0:
-            continue
-        ux, uy = (x2 - x1) / size, (y2 - y1) / size
-        spans = []
-        for ex1, ey1, ex2, ey2 in outline:
-            lo, hi = np.inf, -np.inf
-            for cx, cy in ((ex1, ey1), (ex2, ey2)):  # round caps
-                mid = (cx - x1) * ux + (cy - y1) * uy
-                rest = band * band - ((cx - x1 - mid * ux) ** 2 + (cy - y1 - mid * uy) ** 2)
-                if rest >= 0:
-                    lo, hi = min(lo, mid - rest**0.5), max(hi, mid + rest**0.5)
-            e_len = float(np.hypot(ex2 - ex1, ey2 - ey1))
-            if e_len > 0:  # the straight part: two slabs
-                vx, vy = (ex2 - ex1) / e_len, (ey2 - ey1) / e_len
-                t_lo, t_hi = 0.0, size
-                for start, rate, low, high in (
-                    ((x1 - ex1) * vx + (y1 - ey1) * vy, ux * vx + uy * vy, 0.0, e_len),
-                    ((y1 - ey1) * vx - (x1 - ex1) * vy, uy * vx - ux * vy, -band, band),
-                ):
-                    if abs(rate) < 1e-15:
-                        if not low <= start <= high:
-                            t_lo, t_hi = np.inf, -np.inf
-                    else:
-                        t1, t2 = sorted(((low - start) / rate, (high - start) / rate))
-                        t_lo, t_hi = max(t_lo, t1), min(t_hi, t2)
-                if t_lo <= t_hi:
-                    lo, hi = min(lo, t_lo), max(hi, t_hi)
-            lo, hi = max(lo, 0.0), min(hi, size)
-            if lo < hi:
-                spans.append((lo, hi))
-        end = 0.0
-        for lo, hi in sorted(spans):
-            total += max(0.0, hi - max(lo, end))
-            end = max(end, hi)
-    return total
-
-
 def _pairwise(fn):
     """Pandas UDF body over two geometry columns; an unreadable geometry gives null."""
 
@@ -386,8 +253,9 @@ def _orient(xs, ys):
     out_x, out_y, clean = [], [], True
     for i, (x, y) in enumerate(rings):
         depth = 0
+        clean &= not _crossing(edges[i], edges[i])
         for j, other in enumerate(edges):
-            if i == j:
+            if i == j or not clean:
                 continue
             mid_x, mid_y = (x[1:] + x[:-1]) / 2, (y[1:] + y[:-1]) / 2
             inside = _inside(mid_x, mid_y, other)
@@ -398,12 +266,15 @@ def _orient(xs, ys):
             x, y = x[::-1], y[::-1]
         out_x.append(x.tolist())
         out_y.append(y.tolist())
+    if not clean:  # rings that cross themselves or each other: their even-odd overlay
+        found = even_odd(np.concatenate(edges))
+        out_x, out_y = [r[:, 0].tolist() for r in found], [r[:, 1].tolist() for r in found]
     return out_x, out_y, clean
 
 
 def orient_rings(geom: Column) -> Column:
-    """Even-odd rings as signed rings; ``clean`` is false where rings cross each other,
-    which signed rings cannot say."""
+    """Even-odd rings as signed rings; ``clean`` is false where rings crossed themselves or
+    each other and were overlaid."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -47,7 +47,7 @@ def s1_geojson_layer(spark, folder):
 
 
 def arcgis_pages(spark, folder):
-    """Zones and lines as ArcGIS text: rings with a hole, paths, and points."""
+    """Zones and lines as ArcGIS text: rings with a hole, rings that cross, paths, and points."""
     def ring(a, b, c, d):
         return f"array(array({a},{b}), array({a},{d}), array({c},{d}), array({c},{b}), array({a},{b}))"
 
@@ -59,22 +59,25 @@ def arcgis_pages(spark, folder):
         z % 4 == 2,
         F.struct(
             F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("array<array<array<double>>>").alias("paths"),
-            F.expr(f"array({ring('x0','y0','x1','y1')}, {ring('x0+100','y0+100','x0+200','y0+200')}, array(array(x0, y0), array(x1, y1)))").alias("rings"),
+            F.expr(
+                f"concat(array({ring('x0','y0','x1','y1')}, {ring('x0+100','y0+100','x0+200','y0+200')}, array(array(x0, y0), array(x1, y1))),"
+                f" CASE WHEN zone_id % 8 = 6 THEN array({ring('x0+300','y0+300','x1+300','y1+300')}) ELSE array() END)"
+            ).alias("rings"),
         ),
     )
     feature = F.struct(F.struct(F.col("s_name").alias("IME")).alias("attributes"), geometry.alias("geometry"))
     return X.zones(spark, folder).select("zone_id", F.to_json(F.struct(F.array(feature).alias("features"))).alias("value"))
 
 
-ARC = """SELECT zone_id, ['point', 'line', 'polygon', NULL][zone_id % 4 + 1] AS kind, CASE zone_id % 4 WHEN 2 THEN w * h - 10000 WHEN 3 THEN NULL ELSE 0 END AS area,
-  CASE zone_id % 4 WHEN 1 THEN 2 * w WHEN 0 THEN 0 WHEN 2 THEN 2 * (w + h) + 400 END AS length FROM zones"""
+ARC = """SELECT zone_id, ['point', 'line', 'polygon', NULL][zone_id % 4 + 1] AS kind, CASE WHEN zone_id % 8 = 6 THEN 2 * w * h - 10000 - 2 * (w - 300) * (h - 300) WHEN zone_id % 4 = 2 THEN w * h - 10000 WHEN zone_id % 4 <> 3 THEN 0 END AS area,
+  CASE zone_id % 4 WHEN 1 THEN 2 * w WHEN 0 THEN 0 WHEN 2 THEN 2 * (w + h) * (1 + (zone_id % 8 = 6)::INT) + 400 END AS length FROM zones"""
 
 
 @query("s2_arcgis_layer", X.ctes("zones") + f" {ARC}")
 def s2_arcgis_layer(spark, folder):
     layer = FE.parse_layer(arcgis_pages(spark, folder), "x", arcgis=True)
     g = F.col("geom")
-    return layer.select("zone_id", "geom.kind", F.when(g.isNotNull(), G.area(g)).alias("area"), F.when(g.isNotNull(), G.length(g)).alias("length"))
+    return layer.select("zone_id", "geom.kind", F.when(g.isNotNull(), F.round(G.area(g), 3)).alias("area"), F.when(g.isNotNull(), F.round(G.length(g), 3)).alias("length"))
 
 
 @query("x1_normalise_geometry", X.ctes("zones") + f" SELECT kind, count(*) AS n, sum(area) AS area FROM ({ARC}) GROUP BY 1")

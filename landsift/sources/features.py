@@ -40,7 +40,8 @@ def _geojson_parts(kind: Column, coordinates: Column) -> Column:
 def normalise_geometry(g: Column, arcgis: bool) -> Column:
     """GeoJSON or ArcGIS geometry to kind and parts; polygons as signed even-odd rings.
 
-    Null where it cannot be read; ``clean`` is false for rings that cross each other."""
+    Null where it cannot be read; rings that cross give what an odd number of them holds
+    (their symmetric difference), and ``clean`` is false."""
     kind = F.lit(None).cast("string")
     for name, types in KINDS.items():
         kind = F.when(g["type"].isin(types), name).otherwise(kind)
