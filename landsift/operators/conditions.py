@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landsift import PARCEL_KEY
+from landsift.functions import phrases as PH
 from landsift.functions import rules as R
 from landsift.functions import text as T
 
@@ -166,47 +167,44 @@ def alias_table() -> list[tuple[str, int, int, str]]:
     return [(k, len(a), i, alias) for k, (_, a) in TOPICS.items() for i, alias in enumerate(a)]
 
 
-def _literal_aliases() -> Column:
-    rows = ", ".join(f"named_struct('topic', '{t}', 'aliases', {n}, 'alias_index', {i}, 'alias', '{a}')" for t, n, i, a in alias_table())
-    folded = F.transform(
-        F.expr(f"array({rows})"),
-        lambda r: F.struct(r["topic"].alias("topic"), r["aliases"].alias("aliases"), r["alias_index"].alias("alias_index"), T.fold(r["alias"]).alias("alias")),
+def _alias_hits(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """``lines`` with the phrase hits of every page, and the aliases they number."""
+    rows = alias_table()
+    names = PH.folded(lines.sparkSession, [alias for *_, alias in rows])
+    told = ", ".join(
+        f"named_struct('topic', '{t}', 'aliases', {n}, 'alias_index', {i}, 'alias', '{alias}')" for (t, n, i, _), alias in zip(rows, names, strict=True)
     )
-    return folded
+    return lines.withColumn("hits", PH.phrase_hits(F.col("folded"), names)), F.expr(f"array({told})")
 
 
 def topic_hits(lines: DataFrame) -> DataFrame:
-    """Page lines that hold an alias of a topic, one row per line and alias."""
-    hits = F.flatten(
-        F.transform(
-            F.col("folded"),
-            lambda line, i: F.transform(
-                F.filter(F.col("aliases"), lambda a: F.contains(line, a["alias"])),
-                lambda a: F.struct(
-                    i.alias("line"), a["topic"].alias("topic"), a["aliases"].alias("aliases"),
-                    a["alias_index"].alias("alias_index"), a["alias"].alias("alias"), (line == a["alias"]).alias("exact"),
-                ),
-            ),
-        )
-    )
-    return (
-        lines.withColumn("aliases", _literal_aliases())
-        .withColumn("hit", F.explode(hits))
-        .select("doc_id", "page", "lines", "hit.*")
-    )
+    """Where page lines hold an alias of a topic, one row per line and alias; one pass per page."""
+    found, aliases = _alias_hits(lines)
+    return found.select("doc_id", "page", F.explode("hits").alias("h")).select(
+        "doc_id", "page", F.col("h.line").alias("line"), F.get(aliases, F.col("h.phrase")).alias("a"), F.col("h.whole").alias("exact")
+    ).select("doc_id", "page", "line", "a.*", "exact")
 
 
 def topic_candidates(lines: DataFrame, titles: DataFrame) -> DataFrame:
     """The candidate of each topic, page and alias: the first line whose excerpt is long
-    enough, with the part of its score that no parcel changes. ``titles``: ``doc_id, title``."""
+    enough, with the part of its score that no parcel changes. ``titles``: ``doc_id, title``.
+
+    Excerpts are made on the page, once per line with a hit; the page itself does not travel."""
     longest = F.col("excerpt")
+    found, aliases = _alias_hits(lines)
+    at = F.array_distinct(F.col("hits.line"))
+    texts = F.map_from_arrays(at, F.transform(at, lambda n: excerpt(F.col("lines"), n)))
+    told = F.transform("hits", lambda h: F.struct(h["line"].alias("line"), h["phrase"].alias("phrase"), h["whole"].alias("exact"), F.element_at(F.col("texts"), h["line"]).alias("excerpt")))
     first = (
-        topic_hits(lines)
-        .withColumn("excerpt", excerpt(F.col("lines"), F.col("line")))
+        found.filter(F.size("hits") > 0)
+        .withColumn("texts", texts)
+        .select("doc_id", "page", F.explode(told).alias("h"))
+        .select("doc_id", "page", "h.*")
         .filter(F.length("excerpt") >= SHORTEST)
-        .groupBy("doc_id", "page", "topic", "aliases", "alias_index", "alias")
+        .groupBy("doc_id", "page", "phrase")
         .agg(F.min_by(F.struct("excerpt", "exact", "line"), "line").alias("c"))
-        .select("doc_id", "page", "topic", "aliases", "alias_index", "alias", "c.*")
+        .select("doc_id", "page", F.get(aliases, F.col("phrase")).alias("a"), "c.*")
+        .select("doc_id", "page", "a.*", "excerpt", "exact", "line")
         .join(titles.select("doc_id", "title"), "doc_id")
     )
     title = T.fold(F.col("title"))
