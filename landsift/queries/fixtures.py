@@ -319,9 +319,9 @@ PAGE_LINES = f"""
           FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"""
 
 
-def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of the documents: ``doc_id, page, text``."""
-    lines = page_lines(spark, folder)
+def page_text(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """Pages of the documents, or of other lines of theirs: ``doc_id, page, text``."""
+    lines = page_lines(spark, folder) if lines is None else lines
     return (
         lines.groupBy("doc_id", (F.floor(F.col("i") / 20) + 1).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"))
