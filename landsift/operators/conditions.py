@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsift import PARCEL_KEY
 from landsift.functions import phrases as PH
 from landsift.functions import rules as R
 from landsift.functions import text as T
+from landsift.operators.scan import running
 
 # The 17 topics, their titles, and the headings that announce them.
 TOPICS = {
@@ -456,13 +457,9 @@ def fixed_width_table(lines: DataFrame, keys: list[str], order: str, key_cuts: l
     cells = lines.withColumns(
         {"row_key": cut(key_cuts[0]), "cell": cut(cell_cut), "_keyed": F.concat(*[cut(c) for c in key_cuts]) != ""}
     ).withColumn("_break", F.col("_keyed") | (F.col("cell") == ""))
-    down = Window.partitionBy(*keys).orderBy(order)
-    up = Window.partitionBy(*keys).orderBy(F.desc(order))
     # the last break above and the next break below: their order and whether they are rows
     mark = F.when(F.col("_break"), F.struct(F.col(order).alias("at"), F.col("_keyed").alias("row")))
-    marked = cells.withColumns(
-        {"_above": F.last(mark, True).over(down), "_below": F.last(mark, True).over(up)}
-    )
+    marked = running(cells, keys, [order], {"_above": ("last", mark), "_below": ("next", mark)})
     owners = F.when(F.col("_keyed"), F.array(F.col(order))).when(
         ~F.col("_break"),
         F.array_compact(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landsift.functions import text as T
+from landsift.operators.scan import running
 
 # Result retention, recent searches, supplementary sources.
 RESULT_DAYS = 7
@@ -61,9 +62,8 @@ def progress_curve(steps: DataFrame) -> DataFrame:
     """Progress that never falls and stays below 100 until the job is completed.
 
     ``steps``: ``job_id, at, progress, status``."""
-    w = Window.partitionBy("job_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.max(F.least(F.lit(99), F.col("progress"))).over(w)
-    return steps.withColumn("shown", F.when(F.col("status") == "completed", 100).otherwise(running))
+    steps = running(steps, ["job_id"], ["at"], {"_most": ("max", F.least(F.lit(99), F.col("progress")))})
+    return steps.withColumn("shown", F.when(F.col("status") == "completed", 100).otherwise(F.col("_most"))).drop("_most")
 
 
 def select_supplementary_sources(parcels: DataFrame, versions: DataFrame, pages: DataFrame, now: dt.datetime) -> DataFrame:
