@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import small, written
+from landsift.llm.common import discard, small, written
 from landsift.llm.token_ids import slices
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 16
 #: Rows of a few numbers that may be sent to every task instead of shuffling texts.
 FEW = 500_000
+#: Parts in which the leaders are dealt with, one after the other.
+ROUNDS = 4
 #: Other cuts for sets that leave too many fragments empty.
 CUTS = 4
 
@@ -168,11 +170,31 @@ def _print(s: np.ndarray) -> tuple[int, int]:
     return tuple(_signed(both).tolist())
 
 
-_SETS = "id long, n long, h1 long, h2 long, keys array<long>"
+def _prints(docs: DataFrame, linking: Linking, key: str, text: str) -> DataFrame:
+    """id, size and fingerprint of every document's set."""
+    n = linking.n
 
+    def make(batches):
+        for batch in batches:
+            for some in slices(batch, "t"):
+                sets = gram_sets(some.column("t"), n)
+                prints = np.array([_print(s) for s in sets], np.int64).reshape(-1, 2)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column("id"), sizes, pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], ["id", "n", "h1", "h2"])
 
-def _signatures(docs: DataFrame, linking: Linking, key: str, text: str) -> DataFrame:
-    """id, size, fingerprint and bucket keys of every document."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(make, "id long, n long, h1 long, h2 long")
+
+
+def _firsts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts of the wanted classes (class, its smallest key and its fingerprint), read again.
+
+    A text of a repeated key may be of another class; the fingerprint tells."""
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    return texts.join(small(wanted, FEW), F.col("k").eqNullSafe(F.col("first"))).select("class", "h1", "h2", "t")
+
+
+def _bucket_rows(docs: DataFrame, classes: DataFrame, linking: Linking, key: str, text: str) -> DataFrame:
+    """id (of the class) and key of every bucket of a class; the keys go into the shuffle, not into a table."""
     n = linking.n
 
     def make(batches):
@@ -180,30 +202,24 @@ def _signatures(docs: DataFrame, linking: Linking, key: str, text: str) -> DataF
         for batch in batches:
             for some in slices(batch, "t"):
                 sets = gram_sets(some.column("t"), n)
-                sizes, prints, keys, ends = [], [], [], [0]
-                for s in sets:
+                ids, keys, ends = [], [np.zeros(0, np.int64)], [0]
+                for i, h1, h2, s in zip(*(some.column(c).to_pylist() for c in ("class", "h1", "h2")), sets, strict=True):
+                    if _print(s) != (h1, h2):
+                        continue
                     while begins[-2] <= len(s):
                         begins = linking.classes(2 * begins[-1])
-                    sizes.append(len(s))
-                    prints.append(_print(s))
+                    ids.append(i)
                     keys.append(_signed(buckets(s, linking, begins)))
                     ends.append(ends[-1] + len(keys[-1]))
-                prints = np.array(prints, np.int64).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("id"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists],
-                    ["id", "n", "h1", "h2", "keys"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "keys"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(make, _SETS)
+    chosen = _firsts(docs, classes.select("class", "first", "h1", "h2"), key, text)
+    return chosen.mapInArrow(make, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, linking: Linking, key: str, text: str) -> DataFrame:
-    """id, f, grams: the segments of the wanted classes' sets, one row per fragment.
-
-    ``wanted``: class, its smallest key and its fingerprint. Only texts with such a key are
-    read again; a text of a repeated key whose set is another one gives nothing.
-    """
+    """id, f, grams: the segments of the wanted classes' sets, one row per fragment."""
     n = linking.n
 
     def make(batches):
@@ -223,9 +239,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, linking: Linking, key: str, te
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragments, pa.int32()), lists], ["id", "f", "grams"])
 
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    chosen = texts.join(wanted, F.col("k").eqNullSafe(F.col("first"))).select("class", "h1", "h2", "t")
-    return chosen.mapInArrow(make, "id long, f int, grams array<long>").dropDuplicates(["id", "f"])
+    return _firsts(docs, wanted, key, text).mapInArrow(make, "id long, f int, grams array<long>").dropDuplicates(["id", "f"])
 
 
 def _linked(d: str, sizes: str, linking: Linking):
@@ -257,31 +271,38 @@ def link_classes(docs: DataFrame, linking: Linking, key: str, text: str) -> tupl
     sets: id, n, h1, h2. classes: class (a number), first (its smallest key), n, h1, h2.
     links: a, b between classes.
     """
-    made = written(_signatures(docs, linking, key, text), "ngram-sets")
+    made = written(_prints(docs, linking, key, text), "ngram-sets")
     same = ["h1", "h2", "n"]
     classes = made.filter("n > 0").groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     # a number below 2^54 (for up to 2^21 partitions), behind one that puts many copies first
     rank = F.shiftleft(F.lit(63).cast("long") - F.floor(F.log2("copies")), 54)
     classes = written(classes.withColumn("class", rank + F.monotonically_increasing_id()).drop("copies"), "ngram-classes")
-    firsts = made.filter("size(keys) > 0").select("id", *same, "keys")
-    chosen = classes.select("class", F.col("first").alias("id"), *same)
-    same_key = F.col("made.id").eqNullSafe(F.col("c.id"))
-    for c in same:
-        same_key = same_key & (F.col(f"made.{c}") == F.col(f"c.{c}"))
-    rows = firsts.alias("made").join(chosen.alias("c"), same_key).select(F.col("class").alias("id"), F.explode("keys").alias("key"))
     # dealt out once: leaders and members are found in the same partitions, where a bucket's
     # rows (two numbers each) stream past its one leader
+    rows = _bucket_rows(docs, classes, linking, key, text)
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
     pairs = written(rows.join(leaders, "key").filter("id <> leader").select("id", "leader").distinct(), "ngram-pairs")
 
     ids = pairs.select(F.col("id").alias("class")).unionByName(pairs.select(F.col("leader").alias("class"))).distinct()
     wanted = written(classes.join(ids, "class").select("class", "first", "h1", "h2"), "ngram-wanted")
-    segments = written(_segments(docs, small(wanted, FEW), linking, key, text), "ngram-segments")
+    segments = written(_segments(docs, wanted, linking, key, text), "ngram-segments")
+    # leaders are dealt with in rounds: the differences of one round at a time are on disk
+    rounds = [_round(pairs.filter(F.pmod(F.xxhash64("leader"), F.lit(ROUNDS)) == k), segments, linking) for k in range(ROUNDS)]
+    links = rounds[0]
+    for more in rounds[1:]:
+        links = links.unionByName(more)
+    links = written(links.distinct(), "ngram-links")
+    discard(pairs, wanted, segments, *rounds)
+    return made, classes, links
+
+
+def _round(pairs: DataFrame, segments: DataFrame, linking: Linking) -> DataFrame:
+    """Links (a, b) around the leaders of these pairs, as a written table."""
     mine = segments.select("id", "f", F.col("grams").alias("g"))
     theirs = segments.select(F.col("id").alias("leader"), "f", F.col("grams").alias("h"))
     counted = (
-        pairs.join(mine, "id")
+        mine.join(small(pairs, FEW), "id")
         .join(theirs, ["leader", "f"])
         .select(
             "id", "leader",
@@ -294,12 +315,14 @@ def link_classes(docs: DataFrame, linking: Linking, key: str, text: str) -> tupl
     )
     counted = written(counted, "ngram-differences")
     direct = counted.filter("linked").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    around = _around(counted, linking)
-    return made, classes, written(direct.unionByName(around).distinct(), "ngram-links")
+    around, tables = _around(counted, linking)
+    links = written(direct.unionByName(around).distinct(), "ngram-round")
+    discard(counted, *tables)
+    return links
 
 
-def _around(counted: DataFrame, linking: Linking) -> DataFrame:
-    """Links between documents of a leader of which at least one does not link with it.
+def _around(counted: DataFrame, linking: Linking) -> tuple[DataFrame, list[DataFrame]]:
+    """Links and the tables that they are read from: links between documents of a leader of which at least one does not link with it.
 
     With x not linked to the leader, an x-y link needs more than half of y's differences to
     be shared; x shares all but as many as linked sets may differ in. The rarest differences
@@ -337,7 +360,7 @@ def _around(counted: DataFrame, linking: Linking) -> DataFrame:
     side = lambda a: ranked.select("leader", F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("differ").alias(f"z{a}"), F.transform("d", lambda t: t["g"]).alias(f"d{a}"))
     tested = tried.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
     tested = tested.withColumn("differ", F.col("zx") + F.col("zy") - 2 * F.size(F.array_intersect("dx", "dy")))
-    return tested.filter(_linked("differ", "nx + ny", linking)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return tested.filter(_linked("differ", "nx + ny", linking)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), [often, ranked]
 
 
 def join(docs: DataFrame, linking: Linking | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
