@@ -230,10 +230,49 @@ def request_groups(df: DataFrame, by: str = "visitor", limit: int | None = MAX_G
     return groups.orderBy(F.desc("request_count"), F.desc("last_request"), "key").limit(limit)
 
 
+#: Rows that may be sorted for one page, and buckets of a histogram.
+PAGE_ROWS, PAGE_BUCKETS = 50_000, 1024
+
+
+def page_range(df: DataFrame, offset: int, limit: int) -> tuple[Column | None, int]:
+    """A filter on the time that holds the page, and the page's offset behind it.
+
+    Counts of equal time buckets, at most ``PAGE_BUCKETS`` rows a pass, tell in which the page
+    lies, newest first; only those are cut finer, until few rows or one instant are left."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("requested_at").cast("timestamp_ntz"))
+    at = F.coalesce(micros, F.lit(-(1 << 62)))  # rows without a time come last
+    low, high, n = df.agg(F.min(at), F.max(at), F.count("*")).first()
+    held = None
+    while n > PAGE_ROWS and low < high and offset < n:
+        width = -(-(high - low + 1) // PAGE_BUCKETS)
+        rows = df if held is None else df.filter(held)
+        bucket = F.floor((at - F.lit(low)) / width) if width < 1 << 40 else F.floor(at.cast("decimal(38,0)") / width - F.lit(low).cast("decimal(38,0)") / width)
+        counts = rows.groupBy(bucket.cast("long").alias("b")).agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).collect()
+        counts.sort(key=lambda r: -r["high"])
+        before, kept, rest = 0, [], offset
+        for r in counts:
+            if before + r["n"] <= offset:
+                rest = offset - before - r["n"]
+            elif before < offset + limit:
+                kept.append(r)
+            before += r["n"]
+        fewer = sum(r["n"] for r in kept)
+        low, high = min(r["low"] for r in kept), max(r["high"] for r in kept)
+        held, offset = at.between(F.lit(low), F.lit(high)), rest
+        if fewer == n:
+            break
+        n = fewer
+    return held, offset
+
+
 def request_page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of the log, newest first."""
+    """A page of the log, newest first; of a deep one only the rows around it are sorted."""
+    offset, limit = max(0, offset), max(1, min(limit, MAX_PAGE))
+    if offset + limit > PAGE_ROWS:
+        held, offset = page_range(df, offset, limit)
+        df = df if held is None else df.filter(held)
     ordered = df.orderBy(F.desc("requested_at"), F.desc("request_id"))
-    return ordered.offset(max(0, offset)).limit(max(1, min(limit, MAX_PAGE)))
+    return ordered.offset(offset).limit(limit)
 
 
 def forget_visitors(df: DataFrame, withdrawn: DataFrame) -> DataFrame:
