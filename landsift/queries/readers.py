@@ -13,9 +13,10 @@ from landsift import PARCEL_KEY
 from landsift.functions import geometry as G
 from landsift.functions import text as T
 from landsift.operators import history as H
+from landsift.operators.snapshot import KeyedSnapshot
 from landsift.queries import fixtures as X
 from landsift.queries import query
-from landsift.session import table
+from landsift.session import new_folder, table
 from landsift.sources import archives as A
 from landsift.sources import features as FE
 from landsift.sources import logs as L
@@ -207,6 +208,21 @@ def s13_upsert(spark, folder):
     return H.upsert(even, odd, "cache_key", "stored_at").select("cache_key", "parcel_reference", "stored_at", "value")
 
 
+@query(
+    "s13_snapshot",
+    f"SELECT sha256('v8:' || {REFERENCE}) AS cache_key, {REFERENCE} AS parcel_reference, max(ts) AS stored_at, arg_max(value, ts) AS value FROM events GROUP BY 1, 2",
+)
+def s13_snapshot(spark, folder):
+    """The same table from two batches on a snapshot in buckets."""
+    rows = H.cache_rows(cache_writes(spark, folder)).select("cache_key", "parcel_reference", "stored_at", "value", "half")
+    kept = rows.drop("half")
+    latest = lambda both: both.groupBy("cache_key").agg(F.max_by(F.struct(*kept.columns[1:]), "stored_at").alias("r")).select("cache_key", "r.*")
+    snapshot = KeyedSnapshot(spark, new_folder(spark, "results"), "cache_key", kept.schema, latest)
+    for number in (0, 1):
+        snapshot.apply(rows.filter(F.col("half") == number), number)
+    return snapshot.read()
+
+
 @query("x30_cache_key", f"SELECT event_id, sha256('v8:' || {REFERENCE}) AS cache_key FROM events")
 def x30_cache_key(spark, folder):
     e = F.col("event_id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from landsift.operators import traffic as R
+from landsift.operators.snapshot import KeyedSnapshot
 from landsift.session import new_folder
 
 
@@ -79,18 +80,16 @@ def latest_status(rows: DataFrame) -> DataFrame:
 
 
 def follow_status(stream: DataFrame, name: str = "job-status") -> DataFrame:
-    """Job states kept up to date in versions of a table; every batch merges with the version before.
+    """Job states kept up to date in a keyed snapshot: a batch rewrites the buckets of its jobs.
 
-    A version is named by its batch, so a batch that runs again writes the same version."""
+    A version is named by its batch, so a batch that runs again changes nothing."""
     spark = stream.sparkSession
     path = new_folder(spark, name)
-    schema = "job_id string, status string, updated_at timestamp_ntz, progress bigint"
+    schema = ST.StructType.fromDDL("job_id string, status string, updated_at timestamp_ntz, progress bigint")
+    snapshot = KeyedSnapshot(spark, path, "job_id", schema, latest_status)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("job_id", "status", "updated_at", F.col("progress").cast("bigint").alias("progress"))
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/v{number - 1}"))
-        latest_status(rows).write.mode("overwrite").parquet(f"{path}/v{number}")
+        snapshot.apply(batch.withColumn("progress", F.col("progress").cast("bigint")), number)
 
     q = (
         stream.writeStream.foreachBatch(merge)
@@ -99,8 +98,7 @@ def follow_status(stream: DataFrame, name: str = "job-status") -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    last = (q.lastProgress or {}).get("batchId", 0) if isinstance(q.lastProgress, dict) else q.lastProgress.batchId
-    return spark.read.schema(schema).parquet(f"{path}/v{last}")
+    return snapshot.read()
 
 
 def failed_login_windows(stream: DataFrame, minutes: int = 15, max_attempts: int = 5, delay: str = "1 hour") -> DataFrame:
