@@ -180,7 +180,8 @@ def _decided(rows: DataFrame, targets: DataFrame, limits: list[DataFrame]) -> Da
         marked = marked.filter("fits = 0").unionByName(_first_of_equals(marked.filter("fits > 0")))
     whole = small(targets.drop("budget").withColumnRenamed("source", "_s"))
     joined = marked.join(whole, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    return joined.withColumn("times", F.col("repeats") + F.col("again").cast("long"))
+    # an empty document of a source at its bound fits any rest, but is not taken more often
+    return joined.withColumn("times", F.least(F.col("repeats") + F.col("again").cast("long"), F.lit(REPEATS).cast("long")))
 
 
 def _first_of_equals(rows: DataFrame) -> DataFrame:

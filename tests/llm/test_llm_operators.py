@@ -95,6 +95,16 @@ def test_mix_repeats_rows(spark):
     assert dict(got) == {k: v for k, v in want.items() if v}
 
 
+def test_mix_takes_no_row_more_than_three_times(spark):
+    """Empty documents of a source at its bound fit any rest."""
+    rows = [(i, "a b c", "big") for i in range(90)] + [(100 + i, "" if i < 5 else "a b c", "small") for i in range(14)] + [(200, None, "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = defaultdict(int)
+    for g in mixing.apply(docs).collect():
+        got[g.doc_id] += 1
+    assert max(got.values()) == 3 and got[105] == 3 and got[100] <= 3 and got[200] <= 3
+
+
 @pytest.mark.parametrize("same_text", [False, True])
 @pytest.mark.parametrize("hot", [None, 7, 12])
 def test_mix_parts_rows_of_one_key(spark, hot, same_text):
