@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landsift.llm.common import discard, small, written
@@ -277,12 +277,10 @@ def link_classes(docs: DataFrame, linking: Linking, key: str, text: str) -> tupl
     # a number below 2^54 (for up to 2^21 partitions), behind one that puts many copies first
     rank = F.shiftleft(F.lit(63).cast("long") - F.floor(F.log2("copies")), 54)
     classes = written(classes.withColumn("class", rank + F.monotonically_increasing_id()).drop("copies"), "ngram-classes")
-    # dealt out once: leaders and members are found in the same partitions, where a bucket's
-    # rows (two numbers each) stream past its one leader
+    # dealt out once: the rows of a bucket (two numbers each) come in order, its leader first
     rows = _bucket_rows(docs, classes, linking, key, text)
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
-    pairs = written(rows.join(leaders, "key").filter("id <> leader").select("id", "leader").distinct(), "ngram-pairs")
+    leader = F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    pairs = written(rows.withColumn("leader", leader).filter("id <> leader").select("id", "leader").distinct(), "ngram-pairs")
 
     ids = pairs.select(F.col("id").alias("class")).unionByName(pairs.select(F.col("leader").alias("class"))).distinct()
     wanted = written(classes.join(ids, "class").select("class", "first", "h1", "h2"), "ngram-wanted")
