@@ -34,7 +34,7 @@ FRAGMENTS = 16
 #: Rows of a few numbers that may be sent to every task instead of shuffling texts.
 FEW = 500_000
 #: Parts in which the leaders are dealt with, one after the other.
-ROUNDS = 4
+ROUNDS = 8
 #: Other cuts for sets that leave too many fragments empty.
 CUTS = 4
 
